@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import base, retrieval  # noqa: F401
+from .plans import base, graph, retrieval, store, strategy, temporal, tiers  # noqa: F401
 
 FLAGSHIP = "hybrid_weighted_topk"
 
