@@ -16,7 +16,7 @@ from functools import lru_cache
 import regex
 
 #: Pretokens and chunks that a worker remembers; beyond, it forgets all and goes on. It changes speed only.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -25,6 +25,10 @@ _ODD_BYTE = regex.compile("  |[\x1c-\x1f\x85᠎​-‏﻿]|[^\x00-ӿḀ-⃏]")
 _ODD_WORD = regex.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fİΣ᠎​-‏﻿]|[^\x00-ӿḀ-⃏]")
 
 
+#: What ends most chunks that are more than a word, and is a pretoken there.
+_STOPS = frozenset(".,")
+
+
 def _byte_map() -> dict[int, str]:
     """The published byte-to-character table of byte-level BPE."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -78,6 +82,10 @@ class Ids:
         return array("I", [t.id for t in self.merge(mapped)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._pretoken(self.lead + chunk)
+        if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.pretokens[chunk[-1]]
         parts = self.cut(self.lead + chunk)
         return b"".join(map(self.pretokens.__getitem__, parts))
 
