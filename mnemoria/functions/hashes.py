@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,20 +28,23 @@ def fnv1a64(text: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(done["hi"]), 8, "0"), F.lpad(F.hex(done["lo"]), 8, "0")))
 
 
-@F.pandas_udf("string")
-def fnv1a64_fast(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def fnv1a64_fast(text: Column) -> Column:
     """The same, for long texts."""
-    for s in batches:
-        out = []
-        for t in s:
-            if t is None:
-                out.append(None)
-                continue
-            h = 0xCBF29CE484222325
-            for b in t.encode():
-                h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-            out.append(f"{h:016x}")
-        yield pd.Series(out, dtype=object)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for t in s:
+                if t is None:
+                    out.append(None)
+                    continue
+                h = 0xCBF29CE484222325
+                for b in t.encode():
+                    h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+                out.append(f"{h:016x}")
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(text)
 
 
 def fletcher32_of(data: bytes) -> int:
@@ -82,14 +85,19 @@ def lookup3_of(data: bytes, seed: int = 0) -> int:
     return c
 
 
-@F.pandas_udf("long")
-def fletcher32(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else fletcher32_of(bytes(x)))
+def _checksum(data: Column, of: Callable[[bytes], int]) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else of(bytes(x)))
+
+    return F.pandas_udf(run, "long", F.PandasUDFType.SCALAR)(data)
+
+
+def fletcher32(data: Column) -> Column:
+    return _checksum(data, fletcher32_of)
 
 
-@F.pandas_udf("long")
-def lookup3(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else lookup3_of(bytes(x)))
+def lookup3(data: Column) -> Column:
+    return _checksum(data, lookup3_of)
 
 
 def sha256_status(content: Column, recorded: Column) -> Column:
