@@ -25,7 +25,7 @@ def fnv1a64(text: Column) -> Column:
         return F.struct(high.bitwiseAND(mask).alias("hi"), low.bitwiseAND(mask).alias("lo"))
 
     done = F.aggregate(octets, start, step)
-    return F.lower(F.concat(F.lpad(F.hex(done["hi"]), 8, "0"), F.lpad(F.hex(done["lo"]), 8, "0")))
+    return F.when(text.isNotNull(), F.lower(F.concat(F.lpad(F.hex(done["hi"]), 8, "0"), F.lpad(F.hex(done["lo"]), 8, "0"))))
 
 
 def fnv1a64_fast(text: Column) -> Column:
