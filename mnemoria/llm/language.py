@@ -261,6 +261,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """``docs`` without those in no language that the net knows: ``und``, or a score under ``min_score``. Rows without a doc_id go too."""
-    found = identify(docs, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` without those in no language that the net knows: ``und``, or a score under ``min_score``.
+
+    A rejected doc_id goes with all its rows; rows without a doc_id can't be named and stay. What is joined are the rejected, few of any corpus.
+    """
+    gone = identify(docs, fit(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score))
+    return docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
