@@ -114,8 +114,8 @@ TEMPORAL = {
     "last month": "recent|last few weeks|previously", "last week": "this week|recent|recently", "next month": "upcoming|soon|in the future",
     "recently": "last few days|this week|today", "this week": "recent|last few days|lately", "today": "now|current|this moment", "yesterday": "today|recent|last few days",
 }
-#: An ending and what may stand for it, the longer endings of a kind later than the shorter where that is how they are tried.
-ENDINGS = [("ing", ["ed", "s", "ion"]), ("ed", ["ing", "s"]), ("ly", [""]), ("tion", ["te"]), ("ations", ["ate"]), ("ies", ["y", "ied"]), ("s", [""])]
+#: Endings in the order in which they are tried, and what may stand for each.
+ENDINGS = [(e, o.split("/")) for e, o in (x.split(">") for x in "ing>ed/s/ion ed>ing/s ly> tion>te ations>ate ies>y/ied s>".split(" "))]
 
 
 def _once(text: str, old: str, new: str) -> str:
