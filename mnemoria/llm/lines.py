@@ -1,15 +1,24 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line goes to a leaf by its number of tokens and its leading tokens (tokens with a digit count as variable). Within a
+A line goes to a leaf by its number of tokens and its leading tokens (tokens with a digit are variable and look alike). Within a
 leaf, a token that only one line has at its place is a variable field; the rest is the template. Where too little would be
 left of a line, it is its own template. A template that recurs across documents is dropped from all but the
-first of them. Leaves, fields and templates are aggregates with map-side combine and joins back, so no leaf, however
+first of them.
+
+Lines travel as two hashes. Their text is read again only for leaves that two documents share and that hold different lines.
+Leaves, fields and templates are aggregates with map-side combine and joins back, so no leaf, however
 common its lines, is gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -18,70 +27,147 @@ DEPTH = 3
 MIN_TOKENS = 3
 CONSTANT = 0.7
 WILD = "<*>"
-_SPACE = "[ \\t\\r\\f\\u000B]+"
-
-
-def _lines(docs: DataFrame, *more: Column) -> DataFrame:
-    """``(doc_id, nth, line)`` of whole texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("nth", "line"))
-
-
-def _masked(line: Column) -> Column:
-    """The line's tokens, lower-cased, as one string; those with a digit as a wild card."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), _SPACE, " "), "[^ ]*[0-9][^ ]*", WILD))
-
-
-def _size(masked: Column) -> Column:
-    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
-
-
-def recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> DataFrame:
-    """``(line_hash, first_doc, template)``: hashes of masked lines whose template stands in at least two documents.
-
-    Two hashes of 64 bits name a line, so that different lines don't meet by chance. Lines of fewer than
-    ``min_tokens`` tokens are never templates.
-    """
-    own = _lines(docs).where("doc_id is not null").select("doc_id", _masked(F.col("line")).alias("m"))
-    own = own.where(_size(F.col("m")) >= min_tokens)
-    lead = F.substring_index("m", " ", depth)
-    keyed = own.select("doc_id", F.xxhash64("m").alias("h"), F.xxhash64(_size(F.col("m")), lead).alias("leaf"), "m")
-    # leaves that two documents share: only their lines can recur
-    leaves = keyed.groupBy("leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("leaf")
-    lines = keyed.join(leaves, "leaf", "left_semi").groupBy("leaf", "h", "m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    lines = materialize(lines, "lines")
+#: Bits of the filter of leaves that is sent to the tasks, whatever their number: 4 MB.
+FILTER_BITS = 25
+_DIGIT = re.compile(r"[0-9]")
+
+
+def masked(line: str) -> list[str]:
+    """Tokens of a line, lower-cased, those with a digit as a wild card."""
+    tokens = line.lower().split()
+    if _DIGIT.search(line):
+        tokens = [WILD if _DIGIT.search(t) else t for t in tokens]
+    return tokens
+
+
+def _signed(data: bytes, seed: int = 0) -> int:
+    x = xxhash.xxh64_intdigest(data, seed)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def keys(tokens: list[str], depth: int) -> tuple[int, int, str]:
+    """``(leaf, h, text)`` of masked tokens."""
+    text = " ".join(tokens)
+    lead = " ".join(tokens[:depth])
+    return _signed(f"{len(tokens)} {lead}".encode("utf-8", "replace")), _signed(text.encode("utf-8", "replace")), text
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def hashed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """``(doc_id, th, nth, leaf, h)`` of every line with enough tokens; th is a hash of the whole text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc_id, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
+                th = _signed(text.encode("utf-8", "replace"), 42)  # as Spark's xxhash64 has it
+                for nth, line in enumerate(text.split("\n")):
+                    tokens = masked(line)
+                    if len(tokens) >= min_tokens:
+                        leaf, h, _ = keys(tokens, depth)
+                        out.append((doc_id, th, nth, leaf, h))
+            if out:
+                yield pd.DataFrame(np.array(out, np.int64), columns=["doc_id", "th", "nth", "leaf", "h"])
+
+    return _own(docs).mapInPandas(run, "doc_id long, th long, nth long, leaf long, h long")
+
+
+def _filter_of(leaves: DataFrame) -> np.ndarray:
+    """A bitmap of hashed leaves, of one size for any number of them."""
+    at = F.pmod(F.col("leaf"), F.lit(1 << FILTER_BITS))
+    blocks = leaves.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = np.zeros((1 << FILTER_BITS) // 8 + 4096, np.uint8)
+    for r in blocks.collect():  # a row for each block of 4 KB: at most 1,025 of them
+        start = (r["bucket"] - 1) * 4096 if r["bucket"] > 0 else 0
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[start : start + len(own)] |= own
+    return bits
+
+
+def texts_of(docs: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """``(leaf, h, m)``, distinct: the masked lines of ``leaves``."""
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(leaves))
+    size = 1 << FILTER_BITS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = sent.value
+        for b in batches:
+            out = set()
+            for text in b["text"]:
+                for line in text.split("\n"):
+                    tokens = masked(line)
+                    if len(tokens) >= min_tokens:
+                        leaf, h, m = keys(tokens, depth)
+                        # the aggregate counts positions from 1 within blocks of 32768 bits
+                        at = leaf % size
+                        if _bit(bits, at):
+                            out.add((leaf, h, m))
+            if out:
+                yield pd.DataFrame(sorted(out), columns=["leaf", "h", "m"])
+
+    found = _own(docs).select("text").mapInPandas(run, "leaf long, h long, m string")
+    return found.join(leaves, "leaf", "left_semi").distinct()
+
+
+def _bit(bits: np.ndarray, at: int) -> bool:
+    """Whether the bitmap aggregates put a bit for ``at``: bucket 1 + (at - 1) // 32768, position (at - 1) % 32768; 0 has bucket 0."""
+    if at == 0:
+        return True  # its block is shared with the first one; a filter may say yes too often
+    k = at - 1
+    return bool(bits[k >> 3] >> (k & 7) & 1)
+
+
+def recurring(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> DataFrame:
+    """``(leaf, h, first_doc)`` of lines whose template stands in at least two documents, from ``hashed_lines``."""
+    stats = lines.groupBy("leaf", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    leaves = stats.groupBy("leaf").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.min("h").alias("a"), F.max("h").alias("b")).where("first < last")
+    leaves = materialize(leaves, "leaves")
+    same = leaves.where("a = b").select("leaf", F.col("a").alias("h"), F.col("first").alias("first_doc"))
+    several = leaves.where("a < b").select("leaf")
+    texts = materialize(texts_of(docs, several, depth, min_tokens), "texts")
     # fields: a token that stands at its place in one line of the leaf only is variable
-    token = lines.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "token"))
-    support = token.groupBy("leaf", "at", F.xxhash64("token").alias("t")).agg(F.min("h").alias("a"), F.max("h").alias("b")).select("leaf", "at", "t", (F.col("a") < F.col("b")).alias("fixed"))
-    seen = token.withColumn("t", F.xxhash64("token")).join(support, ["leaf", "at", "t"])
-    field = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(WILD))
-    shaped = seen.groupBy("leaf", "h").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", field.alias("f")))), lambda x: x["f"]), " ").alias("shape"),
-        F.avg((F.col("fixed") & (F.col("token") != WILD)).cast("double")).alias("share"),
-    )
-    template = F.when((F.col("share") >= constant), F.col("shape")).otherwise(F.col("m"))
-    lines = lines.join(shaped, ["leaf", "h"]).select("h", "lo", "hi", template.alias("template"), F.xxhash64("leaf", template).alias("key"))
-    across = lines.groupBy("key").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last")).where("first_doc < last")
-    return lines.join(across, "key").select("h", "first_doc", "template")
+    token = texts.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "token"))
+    support = token.groupBy("leaf", "at", "token").agg((F.min("h") < F.max("h")).alias("fixed"))
+    seen = token.join(support, ["leaf", "at", "token"])
+    shape = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(WILD)).alias("f")))), lambda x: x["f"]), " ")
+    shaped = seen.groupBy("leaf", "h").agg(shape.alias("shape"), F.avg((F.col("fixed") & (F.col("token") != WILD)).cast("double")).alias("share"))
+    # where too little is constant the line's own hash stands for it
+    template = F.when(F.col("share") >= constant, F.xxhash64(F.lit("t"), "shape")).otherwise(F.xxhash64(F.lit("l"), "h"))
+    named = shaped.select("leaf", "h", template.alias("template")).join(stats.join(several, "leaf", "left_semi"), ["leaf", "h"])
+    across = named.groupBy("leaf", "template").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last")).where("first_doc < last").drop("last")
+    return same.unionByName(named.join(across, ["leaf", "template"]).select("leaf", "h", "first_doc"))
 
 
 def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> DataFrame:
     """``docs`` with the lines that are kept, and ``n_lines``, ``n_dropped``.
 
     A line goes if its template recurs across documents and this isn't the first of them (by doc_id); within the first one it
-    stays however often it stands there. Null text stays null, and documents without an id stay as they are. Repeated
-    rows of a document are one document. A document may be left with an empty text. Other columns stay.
+    stays however often it stands there. Lines of fewer than ``min_tokens`` tokens stay. Null text stays null, and documents
+    without an id stay as they are. Rows repeated under a doc_id are one document. A document may be left
+    with an empty text. Other columns stay.
     """
-    found = materialize(recurring(docs, depth, min_tokens, constant).groupBy("h").agg(F.min("first_doc").alias("first_doc")), "recurring")
+    lines = materialize(hashed_lines(docs, depth, min_tokens), "lines")
+    found = recurring(docs, lines, depth, min_tokens, constant)
+    hit = lines.join(found, ["leaf", "h"]).where("doc_id <> first_doc")
+    gone = hit.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.col("nth").cast("int")).alias("_at"))
+
+    def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            masks = []
+            for at in b["_at"]:
+                own = np.zeros(int(max(at)) + 1, bool)
+                own[np.asarray(at, np.int64)] = True
+                masks.append(own)
+            yield b[["_doc", "_th"]].assign(_gone=masks)
+
+    gone = gone.mapInPandas(flags, "_doc long, _th long, _gone array<boolean>")
     text = F.col("text").cast("string")
-    own = _lines(docs.where("text is not null and doc_id is not null"), F.xxhash64(text).alias("_th"))
-    own = own.select("doc_id", "_th", "nth", F.xxhash64(_masked(F.col("line"))).alias("h")).join(found, "h", "left")
-    # a flag for each line of a document that loses any; sets, so that repeated rows count once
-    flag = F.struct("nth", F.coalesce(F.col("doc_id") != F.col("first_doc"), F.lit(False)).alias("gone"))
-    flags = own.groupBy(F.col("doc_id").alias("_doc"), "_th").agg(F.collect_set(flag).alias("_f")).where(F.exists("_f", lambda x: x["gone"]))
-    flags = flags.select("_doc", "_th", F.transform(F.array_sort("_f"), lambda x: x["gone"]).alias("_gone"))
-    at = docs.join(flags, (docs["doc_id"] == flags["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == flags["_th"]), "left").drop("_doc", "_th")
-    each = F.split(text, "\n", -1)
-    left = F.filter(each, lambda _, i: ~F.get("_gone", i))
+    at = docs.withColumn("_h", F.xxhash64(text))
+    at = at.join(gone, (at["doc_id"] == gone["_doc"]) & (at["_h"] == gone["_th"]), "left").drop("_doc", "_th", "_h")
+    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.coalesce(F.get("_gone", i), F.lit(False)))
     n = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     lost = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda x: x)))
     kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n"))
