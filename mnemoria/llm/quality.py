@@ -2,7 +2,7 @@
 
 P(grade >= k) = 1 / (1 + exp(-(w.x - theta_k))): one set of weights over hashed text, ordered thresholds. A document's
 grades give its expected grade and the probability of the top grade, by which it is selected.
-Features are the distinct tokens of the whole text and how often a kind of token stands in it, all hashed.
+Features are the distinct tokens of the whole text, how words begin, and shares of kinds of tokens, all hashed.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Hashed weights; labelled rows that a fit reads at most, about; tokens in fewer fitted rows than this carry no weight.
-BITS, FIT_ROWS, MIN_ROWS = 18, 12_000, 4
+BITS, FIT_ROWS, MIN_ROWS = 18, 8_000, 8
 GRADES = 3
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_USUAL = frozenset([".", ",", ";", ":", "!", "?", "'", '"', "-", "(", ")", ".,"])
 
 
 class Features:
@@ -30,24 +31,33 @@ class Features:
 
     def __init__(self, bits: int = BITS) -> None:
         self.mask = (1 << bits) - 1
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, list[int]] = {}
+
+    def _hash(self, feature: str) -> int:
+        return zlib.crc32(feature.encode("utf-8", "replace")) & self.mask
+
+    def _token(self, t: str) -> list[int]:
+        """A token and, for a word, how it begins: that is what forms of a word share."""
+        return [self._hash("w:" + t), *([self._hash(f"{n}:" + t[:n]) for n in (4, 5) if len(t) > n] if t[0].isalpha() else [])]
 
     def of(self, text: str | None) -> np.ndarray:
-        tokens = _TOKEN.findall(text.lower()) if text else []
-        distinct = set(tokens)
+        tokens = _TOKEN.findall(text) if text else []
+        low = [t.lower() for t in tokens]
+        distinct = set(low)
         memo = self.memo
         if len(memo) > 200_000:
             memo.clear()
-        own = []
+        own: list[int] = []
         for t in distinct:
             k = memo.get(t)
             if k is None:
-                k = memo[t] = zlib.crc32(t.encode("utf-8", "replace")) & self.mask
-            own.append(k)
+                k = memo[t] = self._token(t)
+            own += k
         n = len(tokens) or 1
-        odd = sum(1 for t in tokens if not t[0].isalnum() and t not in ".,;:!?'\"-")
-        for name, v in (("odd", odd / n), ("distinct", len(distinct) / n), ("size", math.log2(n + 1) / 20), ("length", sum(map(len, tokens)) / n / 16)):
-            own.append(zlib.crc32(f"\x00{name}:{round(v * 10)}".encode()) & self.mask)
+        odd = sum(not t[0].isalnum() and t not in _USUAL for t in tokens)
+        shares = {"odd": odd, "upper": sum(len(t) > 1 and t.isupper() for t in tokens), "distinct": len(distinct), "again": sum(a == b for a, b in zip(low, low[1:], strict=False)), "digits": sum(t[0].isdigit() for t in tokens)}
+        own += [self._hash(f"share {k}:{round(8 * math.sqrt(v / n))}") for k, v in shares.items()]
+        own.append(self._hash(f"size {min(4, n // 8)}"))
         return np.unique(np.array(own, np.int32))
 
 
@@ -62,7 +72,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thetas - s, -50, 50)))
 
 
-def train(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: int = 200, ridge: float = 3e-3, min_rows: int = MIN_ROWS) -> Model:
+def train(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: int = 150, ridge: float = 1e-3, min_rows: int = MIN_ROWS) -> Model:
     """Adam on the class-weighted likelihood; thresholds stay ordered as a first one and positive steps."""
     size = 1 << bits
     lengths = np.array([len(r) for r in rows])
@@ -90,7 +100,7 @@ def train(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: i
             d = cdf[:, k] * (1 - cdf[:, k]) / p * weight
             g_theta[k] = -(d[grades == k].sum() - d[grades == k + 1].sum())
         g_raw = edge([[g_theta.sum()], [g_theta[j:].sum() * math.exp(raw[j]) for j in range(1, len(raw))]])
-        g_w = np.bincount(flat, g_s[owner], size) + ridge * w * 1e-2
+        g_w = np.bincount(flat, g_s[owner], size) + ridge * w
         for q, g, k in ((w, g_w, 0), (raw, g_raw, 1)):
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
