@@ -85,7 +85,9 @@ def over_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFram
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *(extra_order or [])).mapInPandas(run, schema)
+    # a given number: what small rows cost in Python isn't seen by their bytes, by which partitions would be joined
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *(extra_order or [])).mapInPandas(run, schema)
 
 
 def union_find(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
