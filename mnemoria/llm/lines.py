@@ -1,17 +1,18 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line goes to a leaf by its number of tokens and its leading tokens (tokens with a digit are variable and look alike). Within a
-leaf, a token that only one line has at its place is a variable field; the rest is the template. Where too little would be
-left of a line, it is its own template. A template that recurs across documents is dropped from all but the
-first of them.
+leaf, a line joins the template that it shares most places with, if these are enough; a place where members of a template differ
+is a variable field of all of them. Otherwise it begins a template. A template that recurs across documents is dropped from all
+but the first of them.
 
 Lines travel as two hashes. Their text is read again only for leaves that two documents share and that hold different lines.
-Leaves, fields and templates are aggregates with map-side combine and joins back, so no leaf, however
-common its lines, is gathered in one task.
+How common a line is doesn't matter, as lines are distinct before they meet; the distinct lines of a leaf
+pass through one task in the order of their first documents, and the task holds the leaf's templates only.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ DEPTH = 3
 MIN_TOKENS = 3
 CONSTANT = 0.7
 WILD = "<*>"
+_ANY = -1
 #: Bits of the filter of leaves that is sent to the tasks, whatever their number: 4 MB.
 FILTER_BITS = 25
 _DIGIT = re.compile(r"[0-9]")
@@ -120,6 +122,73 @@ def _bit(bits: np.ndarray, at: int) -> bool:
     return bool(bits[k >> 3] >> (k & 7) & 1)
 
 
+class Leaf:
+    """Templates of one leaf, in the order in which their first lines came."""
+
+    def __init__(self, n: int, depth: int, constant: float) -> None:
+        self.n, self.depth = n, min(depth, n)
+        self.least = math.ceil(constant * n - 1e-9)
+        self.ids: dict[str, int] = {WILD: _ANY}
+        self.rows = np.empty((4, n), np.int64)
+        self.size = 0
+        self.at: dict[tuple[int, bytes], list[int]] = {}
+        self.blocks: list[tuple[int, int]] | None = None
+
+    def _keys(self, x: np.ndarray) -> list[tuple[int, bytes]]:
+        """Pieces of a line behind the leading tokens: a template that is similar enough is equal in at least one of them."""
+        if self.blocks is None:
+            spare = self.n - self.least - int((x[: self.depth] == _ANY).sum())
+            tail = self.n - self.depth
+            cuts = [self.depth + tail * k // (spare + 1) for k in range(spare + 2)] if 0 <= spare < tail else []
+            self.blocks = list(zip(cuts, cuts[1:], strict=False))
+        return [(lo, x[lo:hi].tobytes()) for lo, hi in self.blocks if (x[lo:hi] != _ANY).all()]
+
+    def add(self, tokens: list[str]) -> int:
+        """The template of the next line."""
+        x = np.array([self.ids.setdefault(t, len(self.ids)) for t in tokens], np.int64)
+        able = int((x != _ANY).sum()) >= self.least
+        found = self._keys(x) if able else []
+        if able and self.size:
+            if self.blocks:
+                near = np.array(sorted({i for k in found for i in self.at.get(k, ())}), np.int64)
+            else:
+                near = np.arange(self.size)
+            if len(near):
+                same = ((self.rows[near] == x) & (x != _ANY)).sum(axis=1)
+                best = int(same.argmax())
+                if same[best] >= self.least:
+                    row = self.rows[near[best]]
+                    row[row != x] = _ANY
+                    return int(near[best])
+        if self.size == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.size] = x
+        for k in found:
+            self.at.setdefault(k, []).append(self.size)
+        self.size += 1
+        return self.size - 1
+
+
+def templates(texts: DataFrame, depth: int, constant: float) -> DataFrame:
+    """``(leaf, h, lo, hi, template)`` of distinct lines ``texts(leaf, h, m, lo, hi)``; template is a number within the leaf."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, own = None, None
+        for b in batches:
+            out = []
+            for leaf, m in zip(b["leaf"].tolist(), b["m"], strict=True):
+                tokens = m.split(" ")
+                if own is None or leaf != held:
+                    held, own = leaf, Leaf(len(tokens), depth, constant)
+                out.append(own.add(tokens))
+            yield b[["leaf", "h", "lo", "hi"]].assign(template=out)
+
+    # a given number: what a line costs in Python isn't seen by its bytes, by which partitions would be joined
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select("leaf", "h", "m", "lo", "hi").repartition(n, "leaf").sortWithinPartitions("leaf", "lo", "h")
+    return dealt.mapInPandas(run, "leaf long, h long, lo long, hi long, template long")
+
+
 def recurring(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> DataFrame:
     """``(leaf, h, first_doc)`` of lines whose template stands in at least two documents, from ``hashed_lines``."""
     stats = lines.groupBy("leaf", "h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -128,15 +197,7 @@ def recurring(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, min_tokens:
     same = leaves.where("a = b").select("leaf", F.col("a").alias("h"), F.col("first").alias("first_doc"))
     several = leaves.where("a < b").select("leaf")
     texts = materialize(texts_of(docs, several, depth, min_tokens), "texts")
-    # fields: a token that stands at its place in one line of the leaf only is variable
-    token = texts.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "token"))
-    support = token.groupBy("leaf", "at", "token").agg((F.min("h") < F.max("h")).alias("fixed"))
-    seen = token.join(support, ["leaf", "at", "token"])
-    shape = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(WILD)).alias("f")))), lambda x: x["f"]), " ")
-    shaped = seen.groupBy("leaf", "h").agg(shape.alias("shape"), F.avg((F.col("fixed") & (F.col("token") != WILD)).cast("double")).alias("share"))
-    # where too little is constant the line's own hash stands for it
-    template = F.when(F.col("share") >= constant, F.xxhash64(F.lit("t"), "shape")).otherwise(F.xxhash64(F.lit("l"), "h"))
-    named = shaped.select("leaf", "h", template.alias("template")).join(stats.join(several, "leaf", "left_semi"), ["leaf", "h"])
+    named = templates(texts.join(stats.join(several, "leaf", "left_semi"), ["leaf", "h"]), depth, constant)
     across = named.groupBy("leaf", "template").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last")).where("first_doc < last").drop("last")
     return same.unionByName(named.join(across, ["leaf", "template"]).select("leaf", "h", "first_doc"))
 

@@ -112,6 +112,13 @@ def test_lines_of_repeated_and_nameless_rows(spark):
     assert lines.drop_recurring(brute.docs(spark, [])).count() == 0
 
 
+def test_lines_share_a_template_where_field_values_recur(spark):
+    texts = [f"user logged in from {host} at {time} by ssh today" for host in ("east", "west") for time in ("noon", "night")]
+    texts += ["a b c d e f g h i j", "a b c d X f g h i j", "a b c d e f g h Y j", "a b c d e f Z h Y j", "a b c other words that are not like them"]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_recurring(brute.docs(spark, texts)).collect()}
+    assert [k for k in sorted(got) if got[k]] == [0, 4, 8]
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(5)
     for _ in range(150):
