@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemoria.llm.decontaminate import drop_leaks
 from mnemoria.llm.language import keep_known
-from mnemoria.llm.lines import drop_recurring
+from mnemoria.llm.lines import EVERY_LINE, drop_recurring
 from mnemoria.llm.packing import op8_packing
 from mnemoria.llm.shared import materialize, table
 from mnemoria.llm.simhash import keep_one_of_each
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs across documents go from all but the first; every document stays."""
-    done = drop_recurring(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    done = drop_recurring(docs, min_tokens=EVERY_LINE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
 
 

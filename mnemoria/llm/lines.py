@@ -26,6 +26,8 @@ from .shared import materialize
 
 DEPTH = 3
 MIN_TOKENS = 3
+#: ``min_tokens`` with which short lines are told apart by their whole text and only blank ones stay.
+EVERY_LINE = 1
 CONSTANT = 0.7
 WILD = "<*>"
 _ANY = -1
@@ -238,5 +240,5 @@ def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import table
 
-    found = drop_recurring(table(spark, sf_dir, "documents"))
+    found = drop_recurring(table(spark, sf_dir, "documents"), min_tokens=EVERY_LINE)
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), "text")

@@ -119,6 +119,19 @@ def test_lines_share_a_template_where_field_values_recur(spark):
     assert [k for k in sorted(got) if got[k]] == [0, 4, 8]
 
 
+def test_short_lines_recur_too(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [*line_texts(), "les.\nand ornd.\n\nown", "les.\nand ornd.\n\nitself", "全部没有空格的一行", "全部没有空格的一行\n另一行"]
+    docs = brute.docs(spark, texts).withColumn("n_chars", F.length("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.line_dedup(list(enumerate(texts)), least=1)
+    n = len(texts)
+    assert [want[n - k] for k in (3, 1)] == ["\nitself", "另一行"]
+    assert {r["doc_id"]: r["text"] for r in lines.op10_lines(spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(5)
     for _ in range(150):
