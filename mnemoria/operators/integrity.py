@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashes
@@ -49,6 +49,27 @@ def merkle_proof(levels: list[DataFrame], index: int) -> list[str]:
     return out
 
 
+def merkle_proofs(levels: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """``leaves(i, text)`` with ``proof``: for each level the sibling's hash ``h``, and whether it stands to the ``left``.
+
+    A level is one join by index, whatever the number of leaves.
+    """
+    fill = pads(len(levels))
+    out = leaves.withColumn("proof", F.array().cast("array<struct<left: boolean, h: string>>"))
+    for k, level in enumerate(levels[:-1]):
+        at = F.floor(F.col("i") / (1 << k)).cast("long")
+        out = out.withColumns({"_left": at % 2 == 1, "_at": F.when(at % 2 == 1, at - 1).otherwise(at + 1)})
+        out = out.join(level.select(F.col("i").alias("_at"), F.col("h").alias("_h")), "_at", "left")
+        step = F.struct(F.col("_left").alias("left"), F.coalesce("_h", F.lit(fill[k])).alias("h"))
+        out = out.withColumn("proof", F.concat("proof", F.array(step))).drop("_at", "_left", "_h")
+    return out
+
+
+def proven_root(text: Column, proof: Column) -> Column:
+    """The root that a text and its ``proof`` lead to."""
+    return F.aggregate(proof, hashes.leaf_hash(text), lambda h, s: hashes.node_hash(F.when(s["left"], s["h"]).otherwise(h), F.when(s["left"], h).otherwise(s["h"])))
+
+
 def verify_proof(text: str, index: int, proof: list[str], root: str) -> bool:
     h = hashlib.sha256(b"\x00" + text.encode()).digest()
     for k, s in enumerate(proof):

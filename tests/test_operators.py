@@ -203,3 +203,17 @@ def test_validation_tolerance(spark):
     t = spark.createDataFrame([(1, [1.00005, 2.0], "a"), (2, [1.1], "b"), (4, [1.0], "d")], "id long, v array<double>, t string")
     got = {r["id"]: r["problem"] for r in store.validate(s, t, "id", "v", ["t"]).collect()}
     assert got == {2: "v differs", 3: "missing in target", 4: "missing in source"}
+
+
+def test_every_leaf_is_proven(spark, tmp_path):
+    from mnemoria import registry
+    from mnemoria.operators import integrity
+
+    leaves = spark.createDataFrame([(i, f"item {i}") for i in range(11)], "item_id long, text string")
+    leaves.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["merkle_proof"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 4, True, False) for i in range(11)]
+    levels = integrity.merkle_levels(leaves.withColumnRenamed("item_id", "i"))
+    root = levels[-1].first()["h"]
+    for r in integrity.merkle_proofs(levels, leaves.withColumnRenamed("item_id", "i")).collect():
+        assert integrity.verify_proof(r["text"], r["i"], [s["h"] for s in r["proof"]], root)
