@@ -246,6 +246,36 @@ def hnsw_topk(rows: DataFrame, query: list[float], k: int, shard: int = 20_000,
     return rows.where("embedding is not null").select(id_col, "embedding").mapInPandas(run, "id long, score double").orderBy(F.desc("score"), "id").limit(k)
 
 
+def hnsw_batch_topk(rows: DataFrame, queries: DataFrame, k: int, shard: int = 20_000, id_col: str = "vec_id") -> DataFrame:
+    """``(query_id, id, score)``: best k for each of ``queries(query_id, embedding)``, a stated set, from the graphs that ``hnsw_topk`` makes."""
+    asked = queries.select("query_id", "embedding").collect()
+    sent = rows.sparkSession.sparkContext.broadcast(([int(r["query_id"]) for r in asked], [np.array(r["embedding"], np.float64) for r in asked]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+
+        def best() -> pd.DataFrame:
+            b = pd.concat(held, ignore_index=True)
+            graph = HNSW(np.array(b["embedding"].tolist(), np.float64))
+            ids = b[id_col].tolist()
+            found = [(q, int(ids[j]), s) for q, v in zip(*sent.value, strict=True) for j, s in graph.search(v, k)]
+            return pd.DataFrame(found, columns=["query_id", "id", "score"])
+
+        for b in batches:
+            for at in range(0, len(b), shard):
+                held.append(b.iloc[at : at + shard])
+                size += len(held[-1])
+                if size >= shard:
+                    yield best()
+                    held, size = [], 0
+        if size:
+            yield best()
+
+    found = rows.where("embedding is not null").select(id_col, "embedding").mapInPandas(run, "query_id long, id long, score double")
+    return multi_rank(found, ["query_id"]).where(F.col("rank") <= k).drop("rank")
+
+
 def by_modality(records: DataFrame, query: list[float], modality: str | None, k: int) -> DataFrame:
     """Best k records by their best embedding, of one modality or of any."""
     e = records.select("id", F.explode("embeddings").alias("e"))

@@ -217,3 +217,18 @@ def test_every_leaf_is_proven(spark, tmp_path):
     root = levels[-1].first()["h"]
     for r in integrity.merkle_proofs(levels, leaves.withColumnRenamed("item_id", "i")).collect():
         assert integrity.verify_proof(r["text"], r["i"], [s["h"] for s in r["proof"]], root)
+
+
+def test_hnsw_topk_answers_all_queries(spark, tmp_path):
+    from mnemoria import registry
+    from mnemoria.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1200, 64)))], "vec_id long, embedding array<double>")
+    v.write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = lambda rows: {(r["query_id"], r["id"]) for r in rows.collect()}
+    got = pairs(registry.queries()["hnsw_topk"](spark, str(tmp_path)))
+    want = pairs(retrieval.batch_topk(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10))
+    assert {q for q, _ in got} == set(range(0, 1200, 50)) and len(got) == 240
+    assert len(got & want) >= 0.9 * len(want)
