@@ -12,14 +12,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import keep_rows, materialize, over_texts
+
 ERROR_RATE = 0.05
 #: Characters of test items that are matched in one walk; more are walked in blocks of this size.
 BLOCK_CHARS = 8_000_000
-#: Items with fewer normalised characters are matched exactly (k = 0); those with fewer than this many words are passed over.
+#: Items with fewer words than this are matched exactly, between word borders: with errors they would stand nearly everywhere.
 MIN_WORDS = 5
 _BLANK = re.compile(r"\s+")
 
@@ -73,9 +75,10 @@ class Myers:
 class Matcher:
     """Finds every test item of a block in a text."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], rate: float) -> None:
+    def __init__(self, items: tuple[tuple[int, str], ...], rate: float, min_words: int = MIN_WORDS) -> None:
         self.items = items
-        self.errors = [int(rate * len(t)) for _, t in items]
+        self.short = [t.count(" ") + 1 < min_words for _, t in items]
+        self.errors = [0 if short else int(rate * len(t)) for short, (_, t) in zip(self.short, items, strict=True)]
         self.myers = [Myers(t) for _, t in items]
         by: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(items):
@@ -92,6 +95,8 @@ class Matcher:
         for end, (length, where) in self.walk.iter(text):
             begin = end - length + 1
             for k, at in where:
+                if self.short[k] and not _alone(text, begin, end + 1):
+                    continue
                 e, n = self.errors[k], len(self.items[k][1])
                 lo, hi = max(0, begin - at - e), min(len(text), begin - at + n + e)
                 own = windows.setdefault(k, [])
@@ -117,56 +122,90 @@ class Matcher:
         return sorted(out)
 
 
-@lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    return Matcher(items, rate)
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either border."""
+    inside = text[start].isalnum(), text[end - 1].isalnum()
+    return not (inside[0] and start and text[start - 1].isalnum()) and not (inside[1] and end < len(text) and text[end].isalnum())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, item_id, distance, start, end)``: test items that stand in a document with at most ``rate`` edits a character.
+@lru_cache(maxsize=1)
+def _matcher(items: tuple[tuple[int, str], ...], rate: float, min_words: int) -> Matcher:
+    return Matcher(items, rate, min_words)
 
-    Texts are compared as ``normalise`` gives them and start and end count its characters. Null or empty documents hold
-    nothing; null items and those under ``min_words`` words are no test items; items without an id are passed over.
-    Repeated rows are reported each. Test items are a query set: a block of at most ``block_chars`` characters, cut by item id, is
-    sent to the tasks at a time, and every document is held against every block.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    out: DataFrame | None = None
+
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int, str], ...]]:
+    """Normalised test items, by id, in blocks of at most ``block_chars`` characters or one longer item; one block is held at a time."""
     block: list[tuple[int, str]] = []
     size = 0
-
-    def search(items: tuple[tuple[int, str], ...]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            find = _matcher(sent.value, rate).find
-            for b in batches:
-                rows = [(d, *m) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in find(normalise(t))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end"]).astype({"doc_id": "Int64"})
-
-        return texts.mapInPandas(run, "doc_id long, item_id long, distance int, start long, end long")
-
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    for r in items.distinct().orderBy("item_id", "text").toLocalIterator():
         t = normalise(r["text"])
-        if len(t.split()) < min_words:
+        if not t:
             continue
         if block and size + len(t) > block_chars:
-            found = search(tuple(block))
-            out = found if out is None else out.unionByName(found)
+            yield tuple(block)
             block, size = [], 0
         block.append((r["item_id"], t))
         size += len(t)
     if block:
-        found = search(tuple(block))
+        yield tuple(block)
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block as a broadcast, and whether it is the last; those before it are taken back as soon as they are used."""
+    sc = docs.sparkSession.sparkContext
+    held = None
+    for block in blocks(benchmark, block_chars):
+        if held is not None:
+            yield held, False
+            held.unpersist()
+        held = sc.broadcast(block)
+    if held is not None:
+        yield held, True
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``(doc_id, item_id, distance, start, end)``: test items that stand in a document with at most ``rate`` edits a character.
+
+    Texts are compared as ``normalise`` gives them and start and end count its characters. Null or empty documents hold
+    nothing; null and blank items are no test items; items without an id are passed over, equal rows are one item. Items of fewer than
+    ``min_words`` words must stand exactly and not go on as a word on either side. A document without an id is reported without one.
+    Repeated rows are reported each. Test items are a query set: a block of at most ``block_chars`` characters, cut by item id, is
+    sent to the tasks at a time, and every document is held against every block; of several, each block's finds are a table.
+    """
+
+    def search(sent: Broadcast) -> DataFrame:
+        def make():  # noqa: ANN202
+            find = _matcher(sent.value, rate, min_words).find
+
+            def of(texts: list[str | None]):  # noqa: ANN202
+                rows = [(i, *m) for i, t in enumerate(texts) if t for m in find(normalise(t))]
+                return ([r[0] for r in rows], [[r[k] for r in rows] for k in (1, 2, 3, 4)])
+
+            return of
+
+        return over_texts(docs.where("text is not null"), make, "item_id long, distance int, start long, end long")
+
+    out: DataFrame | None = None
+    for sent, last in _sent(docs, benchmark, block_chars):
+        found = search(sent) if last else materialize(search(sent), "leaks")
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, distance int, start long, end long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start long, end long")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold a test item, by the rules of ``leaks``. Rows are judged, so an id need not be there or be unique."""
+
+    def clean(docs: DataFrame, sent: Broadcast) -> DataFrame:
+        def make():  # noqa: ANN202
+            find = _matcher(sent.value, rate, min_words).find
+            return lambda texts: [not t or not find(normalise(t)) for t in texts]
 
+        return keep_rows(docs, make)
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` without those that hold a test item; documents without an id that hold one can't be named and stay."""
-    return docs.join(leaks(docs, benchmark, rate).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    for sent, last in _sent(docs, benchmark, block_chars):
+        docs = clean(docs, sent) if last else materialize(clean(docs, sent), "clean")
+    return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,26 +3,31 @@
 The network reads UTF-8 bytes in both directions, labels every position, and a document's probabilities are the
 mean over all its positions. It is trained here, in numpy, by backpropagation through time on a bounded sample.
 Gates and candidates are piecewise linear, which numpy evaluates several times faster than exponentials.
+
+A text is labelled in pieces, many side by side. Each direction first reads the bytes that come before the piece in its sense, so a piece starts with
+the state that the whole text before it leaves, but for what it has forgotten: the gate that keeps the state is bounded.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import keep_rows, materialize, over_texts
+
 HIDDEN = 8
-#: Bytes that are read in one piece: texts are whole, cut into such pieces side by side.
-PIECE, TRAIN_PIECE = 128, 48
-#: Documents that the fit reads for each language, characters of each (from anywhere in it), and steps.
-FIT_DOCS, FIT_CHARS, STEPS, BATCH = 400, 800, 260, 256
+#: Bytes that are labelled side by side, and bytes before (and behind) them that are read first: what lies further off weighs nothing.
+PIECE, CONTEXT, TRAIN_PIECE = 256, 64, 48
+#: The most of its state that a step may keep. It makes the network forget: 0.8 ** CONTEXT is under a millionth.
+KEEP = np.float32(0.8)
+#: Documents of each language whose whole texts are cut into pieces for the fit, about; such pieces of each language that it holds at most; steps.
+FIT_DOCS, FIT_PIECES, STEPS, BATCH = 400, 20_000, 260, 256
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile(r"[A-Za-z]")
 _PAD = 256
 
 
@@ -47,23 +52,22 @@ def new_net(langs: list[str], hidden: int = HIDDEN, seed: int = 7) -> Net:
 
 
 def _hold(net: Net) -> None:
-    """Padding keeps the state: its update gate is one."""
-    h = net.recur[0].shape[0]
+    """Padding says nothing: a zero state stays zero over it."""
     for t in net.tables:
         t[_PAD] = 0
-        t[_PAD, h : 2 * h] = 1e3
 
 
 def _states(table: np.ndarray, recur: np.ndarray, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """States after each step for bytes ``x`` (steps, rows)."""
     h = recur.shape[0]
     steps, rows = x.shape
-    s = np.zeros((steps + 1, rows, h), np.float32)
+    s = np.zeros((steps + 1, rows, h), table.dtype)
+    most = np.array([1] * h + [KEEP] * h, table.dtype)
     tape = []
     for t in range(steps):
         gx, gh = table[x[t]], s[t] @ recur
         rz_raw = gx[:, : 2 * h] + gh[:, : 2 * h] + 0.5
-        rz = np.clip(rz_raw, 0, 1)
+        rz = np.minimum(np.maximum(rz_raw, 0), most)
         r, z = rz[:, :h], rz[:, h:]
         n_raw = gx[:, 2 * h :] + r * gh[:, 2 * h :]
         n = np.clip(n_raw, -1, 1)
@@ -73,46 +77,54 @@ def _states(table: np.ndarray, recur: np.ndarray, x: np.ndarray, keep: bool) ->
     return s, tape
 
 
+def gradients(net: Net, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross entropy of all positions of bytes ``x`` (steps, rows) with labels ``y``, and its gradient for each of ``net.params()``."""
+    h = net.recur[0].shape[0]
+    runs = [_states(net.tables[0], net.recur[0], x, True), _states(net.tables[1], net.recur[1], x[::-1], True)]
+    f, b = runs[0][0][1:], runs[1][0][1:][::-1]
+    logits = f @ net.out[0] + b @ net.out[1] + net.bias
+    p = np.exp(logits - logits.max(-1, keepdims=True))
+    p /= p.sum(-1, keepdims=True)
+    real = (x != _PAD).astype(p.dtype)
+    real /= real.sum()
+    own = np.arange(len(y))
+    loss = -float((np.log(p[:, own, y]) * real).sum())
+    p[:, own, y] -= 1
+    d = p * real[..., None]
+    grads: list[np.ndarray] = [None] * 7
+    grads[6] = d.sum((0, 1))
+    for k, states in enumerate((f, b)):
+        grads[4 + k] = np.einsum("tbh,tbl->hl", states, d, optimize=True)
+    for k in (0, 1):
+        s, tape = runs[k]
+        xs = x if k == 0 else x[::-1]
+        ds_out = (d if k == 0 else d[::-1]) @ net.out[k].T
+        g_table, g_recur, carry = np.zeros_like(net.tables[k]), np.zeros_like(net.recur[k]), np.zeros_like(s[0])
+        for t in range(len(xs) - 1, -1, -1):
+            rz_in, r, z, n_in, n, gh_n = tape[t]
+            ds = ds_out[t] + carry
+            dn = ds * (1 - z) * n_in
+            dz = ds * (s[t] - n) * rz_in[:, h:]
+            dr = dn * gh_n * rz_in[:, :h]
+            dx = np.concatenate([dr, dz, dn], 1)
+            dg = np.concatenate([dr, dz, dn * r], 1)
+            g_recur += s[t].T @ dg
+            np.add.at(g_table, xs[t], dx)
+            carry = ds * z + dg @ net.recur[k].T
+        grads[k], grads[2 + k] = g_table, g_recur
+    return loss, grads
+
+
 def train(segments: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> Net:
     """Adam on the mean cross entropy of all positions of ``segments`` (rows, TRAIN_PIECE) of bytes or padding."""
     net = new_net(langs, seed=seed)
     rng = np.random.default_rng(seed)
-    h, n_lang = HIDDEN, len(langs)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params()]
-    groups = [np.flatnonzero(labels == k) for k in range(n_lang)]
+    groups = [np.flatnonzero(labels == k) for k in range(len(langs))]
     groups = [g for g in groups if len(g)]
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(g, max(1, batch // len(groups))) for g in groups])
-        x, y = segments[pick].T, labels[pick]
-        runs = [_states(net.tables[0], net.recur[0], x, True), _states(net.tables[1], net.recur[1], x[::-1], True)]
-        f, b = runs[0][0][1:], runs[1][0][1:][::-1]
-        logits = f @ net.out[0] + b @ net.out[1] + net.bias
-        p = np.exp(logits - logits.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        real = (x != _PAD).astype(np.float32)
-        p[:, np.arange(len(y)), y] -= 1
-        d = p * (real / real.sum())[..., None]
-        grads: list[np.ndarray] = [None] * 7
-        grads[6] = d.sum((0, 1))
-        for k, states in enumerate((f, b)):
-            grads[4 + k] = np.einsum("tbh,tbl->hl", states, d, optimize=True)
-        for k in (0, 1):
-            s, tape = runs[k]
-            xs = x if k == 0 else x[::-1]
-            ds_out = (d if k == 0 else d[::-1]) @ net.out[k].T
-            g_table, g_recur, carry = np.zeros_like(net.tables[k]), np.zeros_like(net.recur[k]), np.zeros_like(s[0])
-            for t in range(len(xs) - 1, -1, -1):
-                rz_in, r, z, n_in, n, gh_n = tape[t]
-                ds = ds_out[t] + carry
-                dn = ds * (1 - z) * n_in
-                dz = ds * (s[t] - n) * rz_in[:, h:]
-                dr = dn * gh_n * rz_in[:, :h]
-                dx = np.concatenate([dr, dz, dn], 1)
-                dg = np.concatenate([dr, dz, dn * r], 1)
-                g_recur += s[t].T @ dg
-                np.add.at(g_table, xs[t], dx)
-                carry = ds * z + dg @ net.recur[k].T
-            grads[k], grads[2 + k] = g_table, g_recur
+        _, grads = gradients(net, segments[pick].T, labels[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = 0.02 * min(1.0, 3 * (1 - step / (steps + 1)))
         for q, g, (m, v) in zip(net.params(), grads, moments, strict=True):
@@ -125,19 +137,20 @@ def train(segments: np.ndarray, labels: np.ndarray, langs: list[str], steps: int
 
 
 def _pass(table: np.ndarray, recur: np.ndarray, out: np.ndarray, x: np.ndarray, logits: np.ndarray, backward: bool) -> None:
-    """Add a direction's part to ``logits`` (steps, rows, L)."""
+    """Add a direction's part to ``logits`` (PIECE, rows, L) of bytes ``x`` (CONTEXT + PIECE + CONTEXT, rows)."""
     h = recur.shape[0]
     rows = x.shape[1]
     s = np.zeros((rows, h), np.float32)
     gx, gh = np.empty((rows, 3 * h), np.float32), np.empty((rows, 3 * h), np.float32)
     part = np.empty((rows, out.shape[1]), np.float32)
     rz, n = np.empty((rows, 2 * h), np.float32), np.empty((rows, h), np.float32)
-    for t in range(len(x) - 1, -1, -1) if backward else range(len(x)):
+    most = np.array([1] * h + [KEEP] * h, np.float32)
+    for t in range(len(x) - 1, CONTEXT - 1, -1) if backward else range(CONTEXT + PIECE):
         np.take(table, x[t], axis=0, out=gx, mode="clip")
         np.matmul(s, recur, out=gh)
         np.add(gx[:, : 2 * h], gh[:, : 2 * h], out=rz)
         np.maximum(rz, 0, out=rz)
-        np.minimum(rz, 1, out=rz)
+        np.minimum(rz, most, out=rz)
         np.multiply(rz[:, :h], gh[:, 2 * h :], out=n)
         n += gx[:, 2 * h :]
         np.maximum(n, -1, out=n)
@@ -145,54 +158,52 @@ def _pass(table: np.ndarray, recur: np.ndarray, out: np.ndarray, x: np.ndarray,
         s -= n
         s *= rz[:, h:]
         s += n
-        np.matmul(s, out, out=part)
-        logits[t] += part
+        if CONTEXT <= t < CONTEXT + PIECE:
+            np.matmul(s, out, out=part)
+            logits[t - CONTEXT] += part
+
 
+def document_probabilities(net: Net, texts: list[bytes], rows: int = 1024) -> np.ndarray:
+    """(documents, languages): the mean over all positions of each text's label probabilities; zeros for empty texts.
 
-def document_probabilities(net: Net, texts: list[bytes], rows: int = 2048) -> np.ndarray:
-    """(documents, languages): the mean over all positions of each text's label probabilities; zeros for empty texts."""
-    own = [np.frombuffer(t, np.uint8) for t in texts]
-    sizes = np.array([len(x) for x in own], np.int64)
-    n_pieces = -(-sizes // PIECE)
-    total = np.zeros((len(own), len(net.langs)), np.float64)
+    ``rows`` pieces are held at a time, however long a text is.
+    """
+    total = np.zeros((len(texts), len(net.langs)), np.float64)
     h = net.recur[0].shape[0]
     tables = [t.copy() for t in net.tables]
     for t in tables:
         t[:, : 2 * h] += 0.5
-    piece_doc = np.repeat(np.arange(len(own)), n_pieces)
-    at = 0
-    pending: list[np.ndarray] = []
-    held = 0
-
-    def flush(block: np.ndarray) -> None:
-        nonlocal at
-        x = np.ascontiguousarray(block.T)
-        logits = np.empty((PIECE, len(block), len(net.langs)), np.float32)
+    width = CONTEXT + PIECE + CONTEXT
+    block, owner, held = np.empty((rows, width), np.int16), np.empty(rows, np.int64), 0
+
+    def flush() -> None:
+        x = np.ascontiguousarray(block[:held].T)
+        logits = np.empty((PIECE, held, len(net.langs)), np.float32)
         logits[:] = net.bias
         for k in (0, 1):
             _pass(tables[k], net.recur[k], net.out[k], x, logits, k == 1)
         logits -= logits.max(-1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(-1, keepdims=True)
-        logits *= (x != _PAD)[..., None]
-        np.add.at(total, piece_doc[at : at + len(block)], logits.sum(0, dtype=np.float64))
-        at += len(block)
-
-    for x, n in zip(own, n_pieces.tolist(), strict=True):
-        if not n:
-            continue
-        block = np.full(n * PIECE, _PAD, np.int16)
-        block[: len(x)] = x
-        pending.append(block.reshape(n, PIECE))
-        held += n
-        if held >= rows:
-            joined = np.concatenate(pending)
-            whole = len(joined) // rows * rows
-            for i in range(0, whole, rows):
-                flush(joined[i : i + rows])
-            pending, held = ([joined[whole:]], len(joined) - whole) if whole < len(joined) else ([], 0)
+        logits *= (x[CONTEXT : CONTEXT + PIECE] != _PAD)[..., None]
+        np.add.at(total, owner[:held], logits.sum(0, dtype=np.float64))
+
+    for i, text in enumerate(texts):
+        own = np.frombuffer(text, np.uint8)
+        for at in range(0, len(own), PIECE):
+            lo, hi = max(0, at - CONTEXT), min(len(own), at + PIECE + CONTEXT)
+            row = block[held]
+            row[: CONTEXT - at + lo] = _PAD
+            row[CONTEXT - at + lo : CONTEXT - at + hi] = own[lo:hi]
+            row[CONTEXT - at + hi :] = _PAD
+            owner[held] = i
+            held += 1
+            if held == rows:
+                flush()
+                held = 0
     if held:
-        flush(np.concatenate(pending))
+        flush()
+    sizes = np.array([len(t) for t in texts], np.int64)
     return total / np.maximum(sizes, 1)[:, None]
 
 
@@ -201,31 +212,58 @@ def fold(doc_id: object) -> object:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 if isinstance(doc_id, str) else doc_id
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Net | None:
-    """Train on about ``fit_docs`` documents of each language, none held out, by a window of ``fit_chars`` characters from each.
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter (categories L*): digits of any script, fractions and numerals are none."""
+    return bool(text) and (_PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
 
-    The window's place follows from a hash, so that no part of texts is preferred. None if no row has a text, a language and a doc_id.
+def _pieces(text: str | None) -> np.ndarray:
+    """(pieces, TRAIN_PIECE): all bytes of a text, padding behind the last."""
+    x = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    n = -(-len(x) // TRAIN_PIECE)
+    block = np.full(n * TRAIN_PIECE, _PAD, np.int16)
+    block[: len(x)] = x
+    return block.reshape(n, TRAIN_PIECE)
+
+
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_pieces: int = FIT_PIECES) -> Net | None:
+    """Train on the whole texts of about ``fit_docs`` documents of each language, none held out.
+
+    Their pieces are cut in the tasks; of a language with more than ``fit_pieces`` about so many stay, picked by a hash. None if no row
+    has a text, a language and a doc_id.
     """
-    known = docs.where("text is not null and lang is not null and doc_id is not null and length(text) > 0").where(F.coalesce(fold("doc_id") != 1, F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null and length(text) > 0")
+    known = known.where(F.coalesce(fold("doc_id") != 1, F.lit(False)))
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(fit_docs) / F.count("*")).alias("share"))
+    picked = known.join(share, "lang").where((F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000.0) < F.col("share")).drop("share")
+
+    def make():  # noqa: ANN202
+        def of(texts: list[str | None]):  # noqa: ANN202
+            cut = [_pieces(t) for t in texts]
+            return [i for i, c in enumerate(cut) for _ in range(len(c))], [[row.tobytes() for c in cut for row in c], [k for c in cut for k in range(len(c))]]
+
+        return of
+
+    pieces = materialize(over_texts(picked, make, "piece binary, nth int", ("doc_id", "lang")), "fit")
+    share = pieces.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(fit_pieces) / F.count("*")).alias("share"))
+    few = pieces.join(share, "lang").where((F.pmod(F.xxhash64("doc_id", "nth", F.lit("piece")), F.lit(1_000_000)) / 1_000_000.0) < F.col("share"))
+    rows = few.select("lang", "piece").orderBy("lang", "doc_id", "nth", "piece").toArrow()
+    if not rows.num_rows:
         return None
-    langs = sorted(counts)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, fit_docs / counts[k])))])
-    h = F.xxhash64(F.col("doc_id"), F.lit("fit"))
-    picked = known.where((F.pmod(h, F.lit(1_000_000)) / 1_000_000.0) < share[F.col("lang").cast("string")])
-    start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("at")), F.greatest(F.length("text") - fit_chars, F.lit(1))) + 1
-    rows = picked.select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", start.cast("int"), fit_chars).alias("t")).orderBy("doc_id").limit(2 * fit_docs * len(langs)).toPandas()
-    pieces, labels = [], []
-    for lang, t in zip(rows["lang"], rows["t"], strict=True):
-        x = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
-        n = max(1, len(x) // TRAIN_PIECE)
-        block = np.full(n * TRAIN_PIECE, _PAD, np.int16)
-        m = min(len(x), len(block))
-        block[:m] = x[:m]
-        pieces.append(block.reshape(n, TRAIN_PIECE))
-        labels += [langs.index(lang)] * n
-    return train(np.concatenate(pieces), np.array(labels), langs)
+    names = rows["lang"].to_pylist()
+    langs = sorted(set(names))
+    at = {k: i for i, k in enumerate(langs)}
+    return train(np.frombuffer(b"".join(rows["piece"].to_pylist()), np.int16).reshape(-1, TRAIN_PIECE), np.array([at[k] for k in names]), langs)
+
+
+def _labels(net: Net | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its score; UNKNOWN and 0 without a letter or without a net."""
+    readable = [net is not None and has_letter(t) for t in texts]
+    if not any(readable):
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    p = document_probabilities(net, [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, readable, strict=True)])
+    lang = [net.langs[k] if ok else UNKNOWN for k, ok in zip(p.argmax(1).tolist(), readable, strict=True)]
+    return lang, np.where(readable, np.clip(p.max(1), 0, 1), 0.0)
 
 
 def identify(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -236,20 +274,11 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         own = sent.value
-        for b in batches:
-            readable = [own is not None and isinstance(t, str) and _LETTER.search(t) is not None for t in b["text"]]
-            lang, score = [UNKNOWN] * len(b), np.zeros(len(b))
-            if any(readable):
-                p = document_probabilities(own, [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(b["text"], readable, strict=True)])
-                best = p.argmax(1)
-                lang = [own.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), readable, strict=True)]
-                score = np.where(readable, np.clip(p.max(1), 0, 1), 0.0)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": lang, "score": score})
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = own.mapInPandas(run, "doc_id long, lang_pred string, score double")
+        return lambda texts: (None, list(_labels(own, texts)))
+
+    found = over_texts(docs, make, "lang_pred string, score double")
     return found.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -261,9 +290,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """``docs`` without those in no language that the net knows: ``und``, or a score under ``min_score``.
+    """``docs`` without the rows in no language that the net knows: ``und``, or a score under ``min_score``.
 
-    A rejected doc_id goes with all its rows; rows without a doc_id can't be named and stay. What is joined are the rejected, few of any corpus.
+    Rows are judged as they pass, so an id need not be there or be unique, and nothing is joined.
     """
-    gone = identify(docs, fit(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score))
-    return docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def make():  # noqa: ANN202
+        own = sent.value
+
+        def keep(texts: list[str | None]) -> list[bool]:
+            lang, score = _labels(own, texts)
+            return [k != UNKNOWN and s >= min_score for k, s in zip(lang, score.tolist(), strict=True)]
+
+        return keep
+
+    return keep_rows(docs, make)

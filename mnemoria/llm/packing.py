@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import bisect
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import give_back, materialize, over_texts
 from .tokens import ids_of
 
 CAPACITY = 4096
@@ -40,52 +40,104 @@ class _Lengths:
         i = bisect.bisect_right(self.keys, most)
         return self.keys[i - 1] if i else None
 
-    def least_two(self) -> int:
-        """The sum of the two shortest that are left; more than any room if there are fewer."""
-        a = self.keys[0]
-        return 2 * a if self.n[a] > 1 else a + self.keys[1] if len(self.keys) > 1 else 1 << 60
+    def but(self, w: int) -> Callable[[int], int]:
+        """Counts beside one piece of length ``w``."""
+        return lambda x: self.n.get(x, 0) - (x == w)
+
+    def shortest(self, w: int, k: int, above: int = 0) -> list[int]:
+        """The ``k`` shortest that are longer than ``above``, or fewer, beside one piece of length ``w``."""
+        own, out = self.but(w), []
+        for x in self.keys[bisect.bisect_right(self.keys, above) :]:
+            out += [x] * min(own(x), k - len(out))
+            if len(out) == k:
+                break
+        return out
+
+    def longest(self, w: int, most: int) -> int:
+        """The longest of at most ``most``, beside one piece of length ``w``; one must be there."""
+        best = self.largest(most)
+        return best if self.but(w)(best) else self.keys[bisect.bisect_left(self.keys, best) - 1]
+
+    def fullest_pair(self, w: int, room: int) -> tuple[int, int]:
+        """The two that fill most of ``room``, the longer first, beside one piece of length ``w``; two must fit."""
+        own = self.but(w)
+        keys = [x for x in self.keys if own(x)]
+        lo, hi, best = 0, bisect.bisect_right(keys, room) - 1, (0, 0)
+        while lo <= hi:
+            total = keys[lo] + keys[hi]
+            if total > room or (lo == hi and own(keys[lo]) < 2):
+                hi -= 1
+                continue
+            if total > sum(best):
+                best = keys[hi], keys[lo]
+            lo += 1
+        return best
+
+
+def _dominating(left: _Lengths, w: int, capacity: int) -> list[int] | None:
+    """What stands beside a piece of length ``w`` in some optimal packing, by Martello and Toth's criterion for at most two; None if it can't tell.
+
+    A set dominates another one if the other's pieces can be put into its places. At most two others fit wherever a rule is used.
+    """
+    room = capacity - w
+    least = left.shortest(w, 3)
+    if not least or least[0] > room:
+        return []
+    best = left.longest(w, room)
+    if best == room or len(least) < 2 or least[0] + least[1] > room:
+        return [best]
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    a, b = left.fullest_pair(w, room)
+    if best >= a + b:
+        return [best]
+    # pairs whose shorter piece is longer than b aren't dominated; none fits if the shortest two such don't
+    more = left.shortest(w, 2, b)
+    return [a, b] if a == best and (len(more) < 2 or sum(more) > room) else None
 
 
 def reduce(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
     """Sequences that some optimal packing has, and the counts that remain.
 
-    From the longest piece down: alone if nothing fits beside it; with its exact complement; with the longest
-    piece that fits, if no two others fit together beside it (that piece dominates every alternative).
-    Each rule leaves an optimal packing of the rest optimal. A rule is applied to all pieces of a length at once.
+    From the longest piece down, and again until nothing more is fixed: a piece with nothing, one or two others that dominate every
+    alternative. Each leaves an optimal packing of the rest optimal, and holds as long as the pieces last, so it is applied to
+    all of them at once.
     """
     left = _Lengths(counts)
     fixed: list[tuple[dict[int, int], int]] = []
-    for w in sorted(counts, reverse=True):
-        while left.n.get(w):
-            room = capacity - w
-            count = left.n[w]
-            if room < left.keys[0]:
-                left.take(w, count)
-                fixed.append(({w: 1}, count))
-                continue
-            left.take(w, 1)  # what can stand beside one of them
-            best = left.largest(room) if left.keys else None
-            alone = best is None
-            pair = not alone and (best == room or left.least_two() > room)
-            others = left.n.get(best, 0) if pair else 0
-            if w in left.n:
-                left.n[w] += 1
-            else:
-                left.n[w] = 1
-                bisect.insort(left.keys, w)
-            if alone:
-                left.take(w, 1)
-                fixed.append(({w: 1}, 1))
-            elif pair:
-                k = count // 2 if best == w else min(count, others)
-                left.take(w, k)
-                left.take(best, k)
-                fixed.append((dict(Counter([w, best])), k))
-            else:
-                break  # it waits for best fit
+    before = -1
+    while before != len(fixed):
+        before = len(fixed)
+        for w in list(reversed(left.keys)):
+            while left.n.get(w) and (others := _dominating(left, w, capacity)) is not None:
+                pattern = dict(Counter([w, *others]))
+                k = min(left.n[x] // c for x, c in pattern.items())
+                for x, c in pattern.items():
+                    left.take(x, k * c)
+                fixed.append((pattern, k))
     return fixed, dict(left.n)
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound L2: no packing has fewer sequences.
+
+    For each length K: pieces longer than capacity - K stand without pieces of K or more; those over half of it stand one in
+    each; what is in between fills what these leave, then sequences of its own.
+    """
+    n = np.zeros(capacity + 2, np.int64)
+    for w, c in counts.items():
+        n[w] = c
+    size = n * np.arange(capacity + 2)
+    n_from, size_from = np.cumsum(n[::-1])[::-1], np.cumsum(size[::-1])[::-1]  # of this length or longer
+    half = capacity // 2 + 1
+    best = -(-int(size_from[0]) // capacity)
+    for k in [0, *(w for w in counts if 2 * w <= capacity)]:
+        top = max(half, capacity - k + 1)
+        spare = int((n_from[half] - n_from[top]) * capacity - (size_from[half] - size_from[top]))
+        best = max(best, int(n_from[half]) + max(0, -((spare - int(size_from[k] - size_from[half])) // capacity)))
+    return best
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Best-fit decreasing of a histogram: the longest first, each into the fullest sequence that still takes it.
 
@@ -175,23 +227,26 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
     """
     end = end_id.to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         of = ids_of(tokenizer).of
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+
+        def cut(texts: list[str | None]):  # noqa: ANN202
+            at, rows = [], []
+            for i, text in enumerate(texts):
                 ids = of(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[start : start + 4 * capacity]
                     n = len(own) // 4
-                    rows.append((doc_id, piece, at // 4, n, own, part, seen[n]))
+                    at.append(i)
+                    rows.append((piece, start // 4, n, own, part, seen[n]))
                     seen[n] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "part", "nth"]).astype({"doc_id": "Int64"})
+            return at, [list(c) for c in zip(*rows, strict=True)]
+
+        return cut
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(own.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids binary, part int, nth long"), "pieces")
+    return materialize(over_texts(docs, make, "piece int, start long, length long, ids binary, part int, nth long"), "pieces")
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -207,14 +262,25 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = F.sum("own").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = by.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
-    schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
+    out = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["sequence_id"], b["offset"] = places.of(b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64))
-            yield b.drop(columns="rank")
+            placed = places.of(b.column("length").to_numpy(), b.column("rank").to_numpy())
+            left = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "rank"]
+            yield pa.RecordBatch.from_arrays([*left, *map(pa.array, placed)], names=out.names)
+        give_back()
+
+    return ranked.mapInArrow(find, out)
+
 
-    return ranked.mapInPandas(find, schema)
+def report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: ``pieces``, ``tokens``, ``sequences`` of a placement, and ``lower_bound``, under which no packing of these pieces goes."""
+    by = placed.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
+    counts = {r["length"]: r["n"] for r in by}
+    sequences = placed.agg((F.coalesce(F.max("sequence_id"), F.lit(-1)) + 1).alias("sequences"))
+    own = [F.lit(v).cast("long").alias(k) for k, v in (("pieces", sum(counts.values())), ("tokens", sum(w * n for w, n in counts.items())))]
+    return sequences.select(*own, "sequences", F.lit(lower_bound(counts, capacity)).cast("long").alias("lower_bound"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:

@@ -10,17 +10,16 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Hashed weights; labelled rows that a fit reads at most, about; tokens in fewer fitted rows than this carry no weight.
-BITS, FIT_ROWS, MIN_ROWS = 18, 8_000, 8
+from .shared import over_texts
+
+#: Hashed weights; labelled rows that a fit reads at most, about; tokens in a smaller share of the fitted rows carry no weight.
+BITS, FIT_ROWS, MIN_SHARE = 18, 8_000, 0.001
 GRADES = 3
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _USUAL = frozenset([".", ",", ";", ":", "!", "?", "'", '"', "-", "(", ")", ".,"])
@@ -72,40 +71,46 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thetas - s, -50, 50)))
 
 
-def train(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: int = 150, ridge: float = 1e-3, min_rows: int = MIN_ROWS) -> Model:
-    """Adam on the class-weighted likelihood; thresholds stay ordered as a first one and positive steps."""
+def gradients(w: np.ndarray, raw: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log likelihood with the ridge, and its gradients for ``w`` and ``raw``; row owner[i] has feature flat[i].
+
+    ``raw`` is the first threshold and the logarithms of the steps to the next ones, which keeps thresholds ordered.
+    """
+    theta = np.concatenate([raw[:1], raw[:1] + np.cumsum(np.exp(raw[1:]))])
+    s = np.bincount(owner, w[flat], len(grades))
+    cdf = 1 / (1 + np.exp(np.clip(s[:, None] - theta, -50, 50)))  # P(grade < k+1)
+    full = np.concatenate([np.zeros((len(s), 1)), cdf, np.ones((len(s), 1))], 1)
+    at = np.arange(len(s))
+    hi, lo = full[at, grades + 1], full[at, grades]
+    p = np.maximum(hi - lo, 1e-9)
+    g_s = (hi * (1 - hi) - lo * (1 - lo)) / p * weight
+    slope = cdf * (1 - cdf) / p[:, None] * weight[:, None]
+    g_theta = np.array([slope[grades == k + 1, k].sum() - slope[grades == k, k].sum() for k in range(len(theta))])
+    g_raw = np.concatenate([[g_theta.sum()], [g_theta[j:].sum() * math.exp(raw[j]) for j in range(1, len(raw))]])
+    loss = -float((np.log(p) * weight).sum()) + ridge / 2 * float(w @ w)
+    return loss, np.bincount(flat, g_s[owner], len(w)) + ridge * w, g_raw
+
+
+def train(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: int = 150, ridge: float = 1e-3, min_share: float = MIN_SHARE) -> Model:
+    """Adam on the class-weighted likelihood."""
     size = 1 << bits
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    known = np.bincount(flat, minlength=size) >= min_rows
+    known = np.bincount(flat, minlength=size) >= min_share * len(rows)
     owner = np.repeat(np.arange(len(rows)), lengths)[known[flat]]
     flat = flat[known[flat]]
     share = np.bincount(grades, minlength=GRADES) / len(grades)
     weight = 1.0 / np.sqrt(np.maximum(share[grades], 1e-6))
     weight /= weight.sum()
-    w, raw = np.zeros(size), np.array([0.0] + [0.0] * (GRADES - 2))
+    w, raw = np.zeros(size), np.zeros(GRADES - 1)
     m, v = [np.zeros(size), np.zeros_like(raw)], [np.zeros(size), np.zeros_like(raw)]
-    edge = np.concatenate
     for step in range(1, steps + 1):
-        theta = edge([raw[:1], raw[:1] + np.cumsum(np.exp(raw[1:]))])
-        s = np.bincount(owner, w[flat], len(rows))
-        cdf = 1 / (1 + np.exp(np.clip(s[:, None] - theta, -50, 50)))  # P(grade < k+1)
-        full = np.concatenate([np.zeros((len(s), 1)), cdf, np.ones((len(s), 1))], 1)
-        at = np.arange(len(s))
-        hi, lo = full[at, grades + 1], full[at, grades]
-        p = np.maximum(hi - lo, 1e-9)
-        g_s = -(-(hi * (1 - hi)) + lo * (1 - lo)) / p * weight  # of the negative log likelihood
-        g_theta = np.zeros(len(theta))
-        for k in range(len(theta)):
-            d = cdf[:, k] * (1 - cdf[:, k]) / p * weight
-            g_theta[k] = -(d[grades == k].sum() - d[grades == k + 1].sum())
-        g_raw = edge([[g_theta.sum()], [g_theta[j:].sum() * math.exp(raw[j]) for j in range(1, len(raw))]])
-        g_w = np.bincount(flat, g_s[owner], size) + ridge * w
-        for q, g, k in ((w, g_w, 0), (raw, g_raw, 1)):
+        _, *grads = gradients(w, raw, flat, owner, grades, weight, ridge)
+        for k, (q, g) in enumerate(zip((w, raw), grads, strict=True)):
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.01 * (g * g - v[k])
             q -= 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-    return Model(w.astype(np.float32), edge([raw[:1], raw[:1] + np.cumsum(np.exp(raw[1:]))]))
+    return Model(w.astype(np.float32), np.concatenate([raw[:1], raw[:1] + np.cumsum(np.exp(raw[1:]))]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -116,13 +121,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, *more: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         features = Features()
-        for b in batches:
-            yield b.drop(columns="text").assign(x=[features.of(t) for t in b["text"]])
+        return lambda texts: (None, [[features.of(t) for t in texts]])
 
-    own = docs.select("doc_id", *more, F.col("text").cast("string").alias("text"))
-    return own.mapInPandas(run, own.drop("text").schema.add("x", T.ArrayType(T.IntegerType())))
+    return over_texts(docs, make, "x array<int>", ("doc_id", *more))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, keep: str = "true") -> Model | None:
@@ -146,14 +149,18 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         features, own = Features(), sent.value
-        for b in batches:
-            tails = np.array([own.tails(features.of(t)) for t in b["text"]]).reshape(len(b), -1) if own is not None else np.full((len(b), 2), None)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "expected_grade": tails.sum(1) if own is not None else None, "p_low_or_better": tails[:, 0], "p_good": tails[:, 1]})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInPandas(run, "doc_id long, expected_grade double, p_low_or_better double, p_good double")
+        def of(texts: list[str | None]):  # noqa: ANN202
+            if own is None:
+                return None, [[None] * len(texts)] * 3
+            tails = np.array([own.tails(features.of(t)) for t in texts]).reshape(len(texts), -1)
+            return None, [tails.sum(1), tails[:, 0], tails[:, 1]]
+
+        return of
+
+    return over_texts(docs, make, "expected_grade double, p_low_or_better double, p_good double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

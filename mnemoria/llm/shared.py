@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes of texts that are Python strings at a time, one text at least.
+SLICE = 4 << 20
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that setting is absent, as in local tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that setting is absent and Spark runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="mnemoria-")
@@ -43,6 +51,88 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts whose ``column`` holds about SLICE bytes, or one longer text."""
+    size = batch.column(column).nbytes
+    if size <= SLICE:
+        yield batch
+        return
+    lengths = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    at, held = 0, 0
+    for i, n in enumerate(lengths):
+        if held and held + n > SLICE:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
+
+
+#: Of texts: columns for each of them, or the texts' indices and columns for each of those.
+PerText = Callable[[list[str | None]], tuple[list[int] | None, list]]
+
+
+def over_texts(docs: DataFrame, make: Callable[[], PerText], schema: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*keys, *schema)``: what ``make()`` says of the texts of ``docs``, for each row or several times for one.
+
+    Keys stay Arrow arrays: pandas would make doubles of long ids beside a null, and of those no id above 2^53 comes back.
+    """
+    own = docs.select(*[F.col(k).cast("long").alias(k) if k == "doc_id" else F.col(k) for k in keys], F.col("text").cast("string").alias("text"))
+    out = T.StructType([*own.drop("text").schema.fields, *T.StructType.fromDDL(schema).fields])
+    arrow = _arrow(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            for b in slices(batch):
+                at, columns = of(b.column(len(keys)).to_pylist())
+                left = [b.column(i) if at is None else b.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
+                columns = [pa.array(c, f.type) for c, f in zip([*left, *columns], arrow, strict=True)]
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        del of
+        give_back()
+
+    return own.mapInArrow(run, out)
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` of whose texts ``make()`` says yes. Rows are judged, not ids, so that no id need be there or be unique."""
+
+    name = "text_to_judge"
+    while name in docs.columns:
+        name += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            for b in slices(batch, name):
+                kept = b.filter(pa.array(of(b.column(name).to_pylist()), pa.bool_()))
+                if len(kept):
+                    yield kept.select(kept.schema.names[:-1])
+        del of
+        give_back()
+
+    return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(run, docs.schema)
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+    def of(t: T.DataType) -> pa.DataType:
+        return pa.list_(of(t.elementType)) if isinstance(t, T.ArrayType) else plain[t.simpleString()]
+
+    return pa.schema([(f.name, of(f.dataType)) for f in schema.fields])
+
+
 def stream_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Groups of equal ``keys`` from batches that arrive sorted by them; one group is held at a time.
 
@@ -84,6 +174,7 @@ def over_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, pd.DataFram
                 out, rows = [], 0
         if out:
             yield pd.concat(out, ignore_index=True)
+        give_back()
 
     # a given number: what small rows cost in Python isn't seen by their bytes, by which partitions would be joined
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,8 @@
 """SimHash near-dedup: fingerprints of word shingles, and BK-trees to find those within a few bits.
 
 Equal fingerprints are one node. Of ``bits + 1`` blocks of the 64 bits, two fingerprints within ``bits`` share at least
-one, so each block's value names a bucket in which a BK-tree is built and searched. A bucket of more than
+one, so each block's value names a bucket in which a BK-tree is built and searched: the blocks do most of the pruning, and a tree
+what is left of it in its bucket. One tree over all fingerprints would have to be sent to every task. A bucket of more than
 ``shard`` fingerprints is dealt into shards: every shard's tree meets the queries of every shard, each such
 pair of bounded size in its own group, so near copies by the thousand neither land in one task nor lose a link.
 """
@@ -16,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, materialize, over_groups, union_find
+from .shared import components, materialize, over_groups, over_texts, union_find
 
 SEED = 42
 BITS = 2
 SHARD = 1024
+#: Names of columns that no table has.
+ROW, ID = "simhash_row_", "simhash_id_"
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -78,15 +81,13 @@ class BKTree:
                 todo.extend(k for e, k in kids.items() if d - radius <= e <= d + radius)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: fp is the fingerprint's bits as a signed long. Texts are whole; null is a text without words."""
+def fingerprints(docs: DataFrame, words: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*keys, fp)``: fp is the fingerprint's bits as a signed long. Texts are whole; null is a text without words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t, words) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+    def make():  # noqa: ANN202
+        return lambda texts: (None, [np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts)).view(np.int64)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return over_texts(docs, make, "fp long", keys)
 
 
 def near_pairs(nodes: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
@@ -131,18 +132,24 @@ def near_pairs(nodes: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFr
     return over_groups(dealt, ["block", "value", "tree", "query"], search, "u long, v long", ["node"])
 
 
+def classes(fps: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
+    """``(fp, class)`` of the distinct ``fps.fp``: the same number for all that links of ``bits`` bits or fewer join."""
+    nodes = materialize(fps.groupBy("fp").agg(F.first("fp").alias("node")), "nodes")
+    found = components(near_pairs(nodes, bits, shard))
+    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = 3, shard: int = SHARD) -> DataFrame:
     """``(doc_id, fp, component_id)``; component_id is the smallest doc_id reachable over links of ``bits`` bits or fewer.
 
     A row for each row of ``docs``: repeated rows stay. Texts without words have fingerprint zero and are linked by it like any
-    other. A row without a doc_id belongs to the component of its fingerprint, and names no component itself.
+    other. Rows without a doc_id link like others and name no component: where a component has no id, component_id is null.
     """
     fps = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    named = nodes.where("node is not null")
-    found = components(near_pairs(named, bits, shard))
-    where = named.join(found, "node", "left").select("fp", F.least("node", F.coalesce("component", "node")).alias("component_id"))
-    return fps.join(where, "fp", "left").select("doc_id", "fp", "component_id")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes(fps, bits, shard), "fp")
+    least = materialize(least, "classes")
+    named = least.groupBy("class").agg(F.min("least").alias("component_id"))
+    return fps.join(least.join(named, "class").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +159,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates: of each component the document with the smallest doc_id stays.
+def keep_one_of_each(docs: DataFrame, bits: int = BITS, words: int = 3, shard: int = SHARD) -> DataFrame:
+    """``docs`` without near duplicates: one row of each component stays, that with the smallest doc_id, rows without one last.
 
-    Rows repeated under that doc_id are one document and stay once; rows without a doc_id stay.
+    Rows are judged, not ids: under one doc_id two different texts are two rows, of which the one with the smaller hash comes first. Rows equal in
+    doc_id and text are one, and one of them stays, with the other columns of any.
     """
-    near = near_duplicates(docs.select("doc_id", "text"))
-    first = near.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    own = docs.select("*", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias(ROW))
+    fps = materialize(fingerprints(own, words, ("doc_id", ROW)), "fingerprints")
+    one = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("one"))
+    one = one.join(classes(fps, bits, shard), "fp").groupBy("class").agg(F.min("one").alias("one"))
+    # (id, hash): hashes meet only under one id; for null ids, 0 stands beside their hash
+    kept = one.select(F.coalesce("one.doc_id", F.lit(0)).alias(ID), F.col(f"one.{ROW}").alias(ROW)).distinct()
+    joined = own.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).join(kept, [ID, ROW], "left_semi")
+    return joined.dropDuplicates([ID, ROW]).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Attempt, file_system
-from .shared import fresh_path, materialize
+from .shared import fresh_path, give_back, materialize
 from .tokens import ids_of
 
 SEEK_MAGIC, DOC_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -116,13 +116,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """Encode ``docs(doc_id, text)`` into files in ``folder``, one for each range of doc_id; returns the list of files.
 
     The list ``(file, part, n_docs, n_tokens, first_id)`` has a row for each file, as many as partitions. Null text is empty;
-    rows without a doc_id have no place in the order and are left out. Repeated doc_ids stay, ordered by text.
+    rows without a doc_id have no place in the order and are left out. Repeated doc_ids stay, ordered by a hash of the text.
     ``tokenizer`` is a path that every executor has.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows repeated under one id are dealt by their texts' hashes, in which order they also stand
+    ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     end = end_id.to_bytes(4, "little")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,6 +140,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         name = f"part-{part:05d}.ids.zst"
         with Attempt(folder, name) as out:
             docs_n, tokens = write_file(out, encoded())
+        give_back()
         yield pd.DataFrame({"file": [name], "part": [part], "n_docs": [docs_n], "n_tokens": [tokens], "first_id": first or [None]})
 
     return materialize(ordered.mapInPandas(write, "file string, part int, n_docs long, n_tokens long, first_id long"), "token-files")

@@ -3,7 +3,7 @@
 The tokenizers library spends most of its time outside the merges. Both files here cut a text into
 pretokens that are merged on their own, so a worker cuts with the same expression, asks the
 library's own model for each pretoken it has not met, and joins the remembered ids as bytes.
-Texts whose cutting could differ by a rare character go to the library whole.
+Texts whose cutting could differ by a rare character, or that hold the string of an added token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import regex
 
-#: Pretokens and chunks that a worker remembers; beyond, it forgets all and goes on. It changes speed only.
-REMEMBERED = 300_000
+#: Bytes of one generation of pretokens, and of chunks, that a worker remembers. It changes speed only.
+REMEMBERED = 32 << 20
 
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -42,14 +42,17 @@ class _Memo(dict):
         super().__init__()
         self.fn = fn
         self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def __missing__(self, key: str) -> bytes:
         got = self.older.get(key)
         if got is None:
             got = self.fn(key)
-        if len(self) >= REMEMBERED:
+        if self.size > REMEMBERED:
             self.older = dict(self)
             self.clear()
+            self.size = 0
+        self.size += 190 + len(key) + len(got)  # about what an entry takes, its place in the table included
         self[key] = got
         return got
 
@@ -57,18 +60,22 @@ class _Memo(dict):
 class Ids:
     """``of(text)``: the ids of ``text`` as little-endian unsigned 32-bit integers, without special ids.
 
-    Strings that look like special tokens are ordinary text. A null text is an empty one.
+    They are those of the library's ``encode(text, add_special_tokens=False)``: a string of an added token in a text is that token. A
+    null text is an empty one.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.merge = self.whole.model.tokenize
         self.byte_level = self.whole.normalizer is None
         self.table = _byte_map()
         self.cut = (_BYTE_LEVEL if self.byte_level else _WORD_END).findall
+        added = sorted({t.content for t in self.whole.get_added_tokens_decoder().values()} - {""})
+        if any(t.normalized or t.single_word for t in self.whole.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path} has added tokens that are looked for in normalised text")
+        self.added = added
         self.odd = (_ODD_BYTE if self.byte_level else _ODD_WORD).search
         self.lead = " " if self.byte_level else ""
         self.pretokens = _Memo(self._pretoken)
@@ -92,7 +99,7 @@ class Ids:
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.odd(text):
+        if self.odd(text) or any(t in text for t in self.added):
             return self.library(text)
         if self.byte_level:
             first, *rest = text.split(" ")
@@ -104,7 +111,7 @@ class Ids:
         return head + b"".join(map(self.chunks.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def ids_of(path: str) -> Ids:
     """One for each worker process and file."""
     return Ids(path)

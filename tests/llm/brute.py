@@ -49,7 +49,27 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def line_dedup(rows, depth=3, least=3, constant=0.7):
+def signed(data):
+    x = xxhash.xxh64_intdigest(data)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def cluster(ms, constant):
+    """The number of each line's template, one line after the other."""
+    shapes, out = [], []
+    for m in ms:
+        same = [sum(a == b != "<*>" for a, b in zip(m, t, strict=True)) for t in shapes]
+        k = max(range(len(same)), key=lambda i: (same[i], -i), default=None)
+        if k is None or same[k] < constant * len(m) - 1e-9:
+            shapes.append(list(m))
+            out.append(len(shapes) - 1)
+        else:
+            shapes[k] = [b if a == b else "<*>" for a, b in zip(m, shapes[k], strict=True)]
+            out.append(k)
+    return out, shapes
+
+
+def line_dedup(rows, depth=3, least=3, constant=0.7, shard=8192):
     """{doc_id: kept text} for ``rows`` of distinct doc_ids."""
     def mask(line):
         return ["<*>" if re.search("[0-9]", t) else t for t in line.lower().split()]
@@ -65,11 +85,22 @@ def line_dedup(rows, depth=3, least=3, constant=0.7):
         leaves[(len(m), m[:depth])].append(m)
     template = {}
     for leaf, ms in leaves.items():
-        seen = Counter((i, t) for m in ms for i, t in enumerate(m))
+        h = {m: signed(" ".join(m).encode()) for m in ms}
+        parts = defaultdict(list)
+        for m in sorted(ms, key=lambda m: (min(where[m]), h[m])):
+            parts[h[m] % -(-len(ms) // shard)].append(m)
+        shapes = []
+        for p, own in sorted(parts.items()):
+            numbers, made = cluster(own, constant)
+            for m, k in zip(own, numbers, strict=True):
+                template[m] = (p, k)
+            shapes += [(min(min(where[m]) for m, n in zip(own, numbers, strict=True) if n == k), p, k, t) for k, t in enumerate(made)]
+        to = {(p, k): (p, k) for _, p, k, _ in shapes}
+        if len(ms) > shard:
+            shapes.sort(key=lambda x: x[:3])
+            to = {(p, k): n for (_, p, k, _), n in zip(shapes, cluster([t for *_, t in shapes], constant)[0], strict=True)}
         for m in ms:
-            shape = tuple(t if seen[(i, t)] > 1 else "<*>" for i, t in enumerate(m))
-            fixed = sum(seen[(i, t)] > 1 and t != "<*>" for i, t in enumerate(m))
-            template[m] = (leaf, shape if len(ms) > 1 and fixed / len(m) >= constant else ("line", m))
+            template[m] = (leaf, to[template[m]])
     groups = defaultdict(set)
     for m, t in template.items():
         groups[t] |= where[m]

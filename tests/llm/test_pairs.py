@@ -123,7 +123,15 @@ def test_rows_without_id_and_repeated_rows(spark):
     both = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
     got = simhash.near_duplicates(both).collect()
     assert [r["component_id"] for r in got] == [0, 0, 0]
-    assert simhash.keep_one_of_each(both).count() == 2  # one of the repeated, and the row without an id
+    assert [r["doc_id"] for r in simhash.keep_one_of_each(both).collect()] == [0]
+    nameless = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.keep_one_of_each(nameless.unionByName(nameless)).count() == 1
+
+
+def test_two_texts_under_one_id_are_both_judged(spark):
+    rows = [(1, brute.PROSE[0]), (1, brute.PROSE[1]), (2, brute.PROSE[1]), (None, brute.PROSE[2]), (3, brute.PROSE[2])]
+    left = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left)) == sorted([(1, brute.PROSE[0]), (1, brute.PROSE[1]), (3, brute.PROSE[2])])
 
 
 def test_components_of_chains_stars_and_cycles(spark):

@@ -108,7 +108,11 @@ def test_lines_as_by_hand(spark):
 def test_lines_of_repeated_and_nameless_rows(spark):
     a = brute.docs(spark, ["same line of words\nonly in the first one here", "same line of words"])
     got = lines.drop_recurring(a.unionByName(a.where("doc_id = 1")).unionByName(a.withColumn("doc_id", F.lit(None).cast("long")))).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got) == [(False, 0, "same line of words\nonly in the first one here"), (False, 1, ""), (False, 1, ""), (True, 0, "same line of words"), (True, 0, "same line of words\nonly in the first one here")]
+    # rows without an id are one document behind all others
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got) == [(False, 0, "same line of words\nonly in the first one here"), (False, 1, ""), (False, 1, ""), (True, 0, ""), (True, 0, "")]
+    mine = a.withColumns({"n_lines": F.lit(99), "at": F.lit("x")})
+    assert {(r["n_lines"], r["at"]) for r in lines.drop_recurring(mine, counts=None).collect()} == {(99, "x")}
+    assert {(r["n_lines"], r["all"]) for r in lines.drop_recurring(mine, counts=("all", "gone")).collect()} == {(99, 2), (99, 1)}
     assert lines.drop_recurring(brute.docs(spark, [])).count() == 0
 
 
@@ -119,6 +123,24 @@ def test_lines_share_a_template_where_field_values_recur(spark):
     assert [k for k in sorted(got) if got[k]] == [0, 4, 8]
 
 
+@pytest.mark.parametrize("n", [12, 400, 10_000])
+def test_one_template_whatever_the_number_of_its_lines(spark, n):
+    rng = random.Random(n)
+    texts = [f"session opened for user {rng.choice('abcdefghijklmnopqrst')}{rng.choice('abcxyz')} from host h{rng.choice('pqrstuvw')} by the gateway service" for _ in range(n)]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_recurring(brute.docs(spark, texts), shard=50).collect()}
+    assert [k for k in got if got[k]] == [0]
+
+
+def test_lines_of_shards_as_by_hand(spark):
+    rng = random.Random(9)
+    kinds = ["job {} of {} ended with state {} after {} tries on node {}", "job {} of {} was sent to queue {} by user {} of {}"]
+    words = ["red", "green", "blue", "black", "white", "grey"]
+    texts = ["\n".join("run of the " + rng.choice(kinds).format(*rng.choices(words, k=5)) for _ in range(6)) for _ in range(60)] + line_texts()
+    for shard in (7, 40, 8192):
+        got = {r["doc_id"]: r["text"] for r in lines.drop_recurring(brute.docs(spark, texts), shard=shard).collect()}
+        assert got == brute.line_dedup(list(enumerate(texts)), shard=shard)
+
+
 def test_short_lines_recur_too(spark, tmp_path):
     import corpus_pipeline
 
@@ -152,7 +174,7 @@ def test_leaks_within_the_budget_are_found(spark):
             at = rng.randrange(len(t))
             t[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
         texts.append(" ".join(rng.choices(words, k=20)) + "\n" + "".join(t).upper() + " " + " ".join(rng.choices(words, k=20)))
-    b = spark.createDataFrame([*enumerate(items), (90, None), (91, "too short"), (None, items[0])], "item_id long, text string")
+    b = spark.createDataFrame([*enumerate(items), (90, None), (91, "too short"), (92, " "), (None, items[0])], "item_id long, text string")
     d = brute.docs(spark, [*texts, *brute.awkward()])
     for block in (8_000_000, 400):
         got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(d, b, block_chars=block).collect()}
@@ -165,5 +187,16 @@ def test_leaks_within_the_budget_are_found(spark):
         assert got == want and len(want) > 20
     clean = decontaminate.drop_leaks(d, b)
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts) + len(brute.awkward()))) - {i for i, _ in want}
+    nameless = d.withColumn("doc_id", F.lit(None).cast("long"))
+    for block in (8_000_000, 400):
+        assert decontaminate.drop_leaks(nameless, b, block_chars=block).count() == clean.count()
     assert decontaminate.leaks(d, b.limit(0)).count() == 0
     assert decontaminate.leaks(d.limit(0), b).count() == 0
+
+
+def test_short_items_stand_between_word_borders(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "art"), (3, "东京")], "item_id long, text string")
+    texts = ["ask: who  WROTE\nhamlet? now", "who wrote hamlets?", "a smart cart", "modern art.", "Art", "他在 东京 工作", "xwho wrote hamlet?"]
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in decontaminate.leaks(brute.docs(spark, texts), items).collect()}
+    assert got == {(0, 1, 0, 5, 22), (3, 2, 0, 7, 10), (4, 2, 0, 0, 3), (5, 3, 0, 3, 5)}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(brute.docs(spark, texts), items).collect()} == {1, 2, 6}
