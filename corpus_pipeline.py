@@ -18,23 +18,25 @@ from mnemoria.llm.simhash import keep_one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay."""
+    """Rows in a known language stay, whatever their ids."""
     return keep_known(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs across documents go from all but the first; every document stays."""
-    done = drop_recurring(docs, min_tokens=EVERY_LINE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    done = drop_recurring(docs, min_tokens=EVERY_LINE, counts=None)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the row with the smallest doc_id stays, rows without an id last."""
     return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Rows that hold a test item go."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
