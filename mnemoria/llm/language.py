@@ -226,6 +226,13 @@ def _pieces(text: str | None) -> np.ndarray:
     return block.reshape(n, TRAIN_PIECE)
 
 
+def _share(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows of each language, by a hash of ``key``. Languages are the network's outputs, so their counts are few."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["n"])))]) if counts else F.create_map().cast("map<string,double>")
+    return rows.where((F.pmod(F.xxhash64(*key, F.lit("fit")), F.lit(1_000_000)) / 1_000_000.0) < F.element_at(share, F.col("lang")))
+
+
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_pieces: int = FIT_PIECES) -> Net | None:
     """Train on the whole texts of about ``fit_docs`` documents of each language, none held out.
 
@@ -234,8 +241,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_pieces: int = FIT_PIECES)
     """
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null and length(text) > 0")
     known = known.where(F.coalesce(fold("doc_id") != 1, F.lit(False)))
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(fit_docs) / F.count("*")).alias("share"))
-    picked = known.join(share, "lang").where((F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000.0) < F.col("share")).drop("share")
+    picked = _share(known, fit_docs, "doc_id")
 
     def make():  # noqa: ANN202
         def of(texts: list[str | None]):  # noqa: ANN202
@@ -245,8 +251,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_pieces: int = FIT_PIECES)
         return of
 
     pieces = materialize(over_texts(picked, make, "piece binary, nth int", ("doc_id", "lang")), "fit")
-    share = pieces.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(fit_pieces) / F.count("*")).alias("share"))
-    few = pieces.join(share, "lang").where((F.pmod(F.xxhash64("doc_id", "nth", F.lit("piece")), F.lit(1_000_000)) / 1_000_000.0) < F.col("share"))
+    few = _share(pieces, fit_pieces, "doc_id", "nth")
     rows = few.select("lang", "piece").orderBy("lang", "doc_id", "nth", "piece").toArrow()
     if not rows.num_rows:
         return None
