@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import pickle
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 
@@ -18,131 +21,179 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def centroid_scores(v: str, centroids: list[list[float]]) -> Column:
-    """Cosine with each centroid, as an array."""
-    return F.array(*[vectors.cosine(F.col(v), vectors.literal(c)) for c in centroids])
+def matrix(column: pa.Array) -> np.ndarray:
+    """(rows, dims) of an array column without nulls, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def with_columns(rows: DataFrame, make: Callable[[np.ndarray], dict[str, np.ndarray | list]], schema: str, v: str = "embedding") -> DataFrame:
+    """``rows`` that have a vector, with columns computed from a matrix of them; all other columns pass through as they are."""
+    more = T.StructType.fromDDL(schema)
+    own = rows.where(F.col(v).isNotNull())
+    out = T.StructType([*own.schema.fields, *more.fields])
+    kinds = {"int": pa.int32(), "array<int>": pa.list_(pa.int32()), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                got = make(matrix(b.column(b.schema.get_field_index(v))))
+                cols = [pa.array(list(got[f.name]) if f.dataType.typeName() == "array" else got[f.name], kinds[f.dataType.simpleString()]) for f in more.fields]
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=out.names)
+
+    return own.mapInArrow(run, out)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
+    """(rows, n): the centres with the largest cosine, the first of equals; scores count to twelve places."""
+    return np.argsort(-np.round(unit(x) @ unit(centres).T, 12), axis=1, kind="stable")[:, :n]
 
 
 def assign(rows: DataFrame, centroids: list[list[float]], v: str = "embedding") -> DataFrame:
-    """``cluster``: the centroid with the largest cosine, the first of equals. Centroids are a stated, small set."""
-    s = rows.withColumn("_s", centroid_scores(v, centroids))
-    return s.withColumn("cluster", (F.array_position("_s", F.array_max("_s")) - 1).cast("int")).drop("_s")
-
-
-def kmeans(rows: DataFrame, k: int, iterations: int = 15, v: str = "embedding", id_col: str = "vec_id") -> list[list[float]]:
-    """Cosine k-means from evenly spaced seeds by id. Every step is one pass that sums each cluster in the tasks; sums of k vectors reach the driver."""
-    n = rows.where(F.col(v).isNotNull()).count()
-    if not n:
-        return []
-    k = min(k, n)
-    # every stride-th row by id, without numbering all rows: quantiles of the ids
-    marks = rows.stat.approxQuantile(id_col, [i / k for i in range(k)], 0.001)
-    picked = [rows.where(F.col(id_col) >= m).orderBy(id_col).select(v).limit(1).first()[0] for m in marks]
-    centres = unit(np.array(picked, np.float64))
-    for _ in range(iterations):
+    """``cluster``: the centroid with the largest cosine, the first of equals."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.array(centroids, np.float64))
+    return with_columns(rows, lambda x: {"cluster": nearest(x, sent.value)[:, 0].astype(np.int32)}, "cluster int", v)
+
+
+def first_by_hash(rows: DataFrame, n: int, id_col: str, v: str = "embedding") -> np.ndarray:
+    """At most ``n`` vectors, those whose ids have the smallest hashes: the seeds of a fit, or its bounded sample."""
+    got = rows.where(F.col(v).isNotNull()).select(id_col, v).orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(n).select(v).collect()
+    return np.array([r[0] for r in got], np.float64)
+
+
+def kmeans(rows: DataFrame, k: int, iterations: int = 5, v: str = "embedding", id_col: str = "vec_id") -> list[list[float]]:
+    """Cosine k-means. Every step is one pass over all rows that sums each cluster in the tasks; k sums of each task are added up, and k vectors reach the driver."""
+    centres = first_by_hash(rows, k, id_col, v)
+    for _ in range(iterations if len(centres) else 0):
         sent = rows.sparkSession.sparkContext.broadcast(centres)
 
-        def sums(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             c = sent.value
             total, count = np.zeros_like(c), np.zeros(len(c), np.int64)
             for b in batches:
-                x = np.array(b[v].tolist(), np.float64)
-                if not len(x):
-                    continue
-                own = (unit(x) @ c.T).argmax(1)
-                np.add.at(total, own, x)
-                np.add.at(count, own, 1)
-            yield pd.DataFrame({"cluster": np.arange(len(c)), "n": count, "total": list(total)})
-
-        parts = rows.where(F.col(v).isNotNull()).select(v).mapInPandas(sums, "cluster int, n long, total array<double>")
+                if len(b):
+                    x = matrix(b.column(0))
+                    own = nearest(x, c)[:, 0]
+                    np.add.at(total, own, x)
+                    np.add.at(count, own, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c), dtype=np.int32)), pa.array(count), pa.array(list(total), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
+
+        parts = rows.where(F.col(v).isNotNull()).select(v).mapInArrow(sums, "cluster int, n long, total array<double>")
         dims = centres.shape[1]
         got = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"d{i}") for i in range(dims)]).collect()
-        new = centres.copy()
+        sent.unpersist()
+        centres = centres.copy()
         for r in got:
             if r["n"]:
-                new[r["cluster"]] = np.array([r[f"d{i}"] for i in range(dims)]) / r["n"]
-        new = unit(new)
-        if np.allclose(new, centres, atol=1e-6):
-            break
-        centres = new
+                centres[r["cluster"]] = np.array([r[f"d{i}"] for i in range(dims)]) / r["n"]
     return centres.tolist()
 
 
-def probe(rows: DataFrame, query: list[float], centroids: list[list[float]], n_probe: int, k: int, id_col: str = "vec_id") -> DataFrame:
-    """The best k of the lists of the ``n_probe`` centroids nearest to the query. ``rows`` have ``cluster``: write them partitioned by it and the scan reads those alone."""
-    q = unit(np.array(query))
-    near = np.argsort(-(unit(np.array(centroids)) @ q), kind="stable")[:n_probe].tolist()
-    own = rows.where(F.col("cluster").isin([int(c) for c in near]))
-    return own.select(F.col(id_col).alias("id"), vectors.cosine(F.col("embedding"), vectors.literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def rairs_lists(x: np.ndarray, centres: np.ndarray, copies: int = 2, mix: float = 0.7) -> np.ndarray:
+    """(rows, copies): a vector's nearest list, then those where nearness and direction together say it lies at the border.
+
+    Direction is the cosine of what the centroid leaves of the vector with the way from the vector to the middle of all centroids.
+    """
+    near = unit(x) @ unit(centres).T
+    own = np.round(near, 12).argmax(1)
+    toward = unit(centres.mean(0) - x)
+    rest = unit(x[:, None, :] - centres[None])
+    score = np.round(mix * near + (1 - mix) * np.einsum("ncd,nd->nc", rest, toward), 12)
+    score[np.arange(len(x)), own] = np.inf
+    return np.argsort(-score, axis=1, kind="stable")[:, :copies]
 
 
 def rairs_assign(rows: DataFrame, centroids: list[list[float]], copies: int = 2, mix: float = 0.7) -> DataFrame:
-    """A row for each list of a vector: its nearest, then those where nearness and direction together say it lies at the border.
+    """A row for each list of a vector, by ``rairs_lists``."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.array(centroids, np.float64))
+    several = with_columns(rows, lambda x: {"_lists": rairs_lists(x, sent.value, copies, mix)}, "_lists array<int>")
+    return several.withColumn("cluster", F.explode("_lists")).drop("_lists")
 
-    Direction is the cosine of what the centroid leaves of the vector with the way from the vector to the middle of all centroids.
-    """
-    middle = vectors.literal(np.mean(np.array(centroids), axis=0).tolist())
-    toward = F.zip_with(middle, "embedding", lambda m, x: m - x.cast("double"))
-    based = assign(rows, centroids).withColumn("_q", toward)
-    parts = []
-    for i, c in enumerate(centroids):
-        lit = vectors.literal(c)
-        rest = F.zip_with("embedding", lit, lambda x, y: x.cast("double") - y)
-        score = mix * vectors.cosine(F.col("embedding"), lit) + (1 - mix) * vectors.cosine(rest, F.col("_q"))
-        parts.append(F.struct((F.col("cluster") != i).alias("other"), F.round(-score, 12).alias("s"), F.lit(i).alias("c")))
-    best = F.slice(F.array_sort(F.array(*parts)), 1, copies)
-    return based.withColumn("cluster", F.explode(F.transform(best, lambda x: x["c"]))).drop("_q")
-
-
-def rairs_probe(rows: DataFrame, query: list[float], centroids: list[list[float]], n_probe: int, k: int, id_col: str = "vec_id") -> DataFrame:
-    q = unit(np.array(query))
-    near = np.argsort(-(unit(np.array(centroids)) @ q), kind="stable")[:n_probe].tolist()
-    own = rows.where(F.col("cluster").isin([int(c) for c in near])).dropDuplicates([id_col])
-    return own.select(F.col(id_col).alias("id"), vectors.cosine(F.col("embedding"), vectors.literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-
-
-def pq_train(sample: np.ndarray, parts: int, codes: int, iterations: int = 10) -> np.ndarray:
-    """Codebooks (parts, codes, dims) by k-means on each slice of a bounded sample; the first rows are the seeds."""
-    n, dim = sample.shape
-    width = dim // parts
+
+def pq_train(sample: np.ndarray, parts: int, codes: int, iterations: int = 5) -> np.ndarray:
+    """Codebooks (parts, codes, dims) by k-means on each slice of a bounded sample; the first rows are the seeds, distances count to twelve places."""
+    width = sample.shape[1] // parts
     books = np.stack([sample[:codes, p * width : (p + 1) * width].copy() for p in range(parts)])
     for p in range(parts):
         x = sample[:, p * width : (p + 1) * width]
         for _ in range(iterations):
-            own = ((x[:, None, :] - books[p][None]) ** 2).sum(-1).argmin(1)
-            for c in range(len(books[p])):
-                if (own == c).any():
-                    books[p][c] = x[own == c].mean(0)
+            own = _words(x, books[p])
+            for c in np.unique(own):
+                books[p][c] = x[own == c].mean(0)
     return books
 
 
-def pq_encode(rows: DataFrame, books: list[list[list[float]]], v: str = "embedding") -> DataFrame:
-    """``codes``: for each slice the nearest code word, the first of equals."""
-    width = len(books[0][0])
+def _words(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return np.round(((x[:, None, :] - book[None]) ** 2).sum(-1), 12).argmin(1)
 
-    def code(p: int) -> Column:
-        own = F.slice(v, p * width + 1, width)
-        d = F.array(*[F.aggregate(F.zip_with(own, vectors.literal(w), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x) for w in books[p]])
-        return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 
-    return rows.withColumn("codes", F.array(*[code(p) for p in range(len(books))]))
+def pq_codes(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    width = books.shape[2]
+    return np.stack([_words(x[:, p * width : (p + 1) * width], b) for p, b in enumerate(books)], axis=1)
 
 
-def pq_distance(query: list[float], books: list[list[list[float]]]) -> Column:
-    """Asymmetric squared distance of ``codes`` from the query: a table look-up for each slice."""
-    width = len(books[0][0])
-    terms = []
-    for p, words in enumerate(books):
-        own = query[p * width : (p + 1) * width]
-        row = [sum((a - b) ** 2 for a, b in zip(own, w, strict=True)) for w in words]
-        terms.append(F.element_at(vectors.literal(row), F.col("codes")[p] + 1))
-    return reduce(lambda a, b: a + b, terms)
+def pq_encode(rows: DataFrame, books: np.ndarray, v: str = "embedding") -> DataFrame:
+    """``codes``: for each slice the nearest code word, the first of equals."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.asarray(books, np.float64))
+    return with_columns(rows, lambda x: {"codes": pq_codes(x, sent.value)}, "codes array<int>", v)
 
 
-def pq_rerank(rows: DataFrame, query: list[float], books: list[list[list[float]]], candidates: int, k: int, id_col: str = "vec_id") -> DataFrame:
-    """The nearest ``candidates`` by codes, ordered by exact cosine, the best k of them."""
-    near = rows.withColumn("adc", F.round(pq_distance(query, books), 9)).orderBy("adc", id_col).limit(candidates)
-    return near.select(F.col(id_col).alias("id"), vectors.cosine(F.col("embedding"), vectors.literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def search(index: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray | None = None, n_probe: int = 0, books: np.ndarray | None = None, candidates: int = 0, copies: int = 1, id_col: str = "vec_id") -> DataFrame:
+    """``(query_id, id, score)``: the best k by cosine for each of ``queries(query_id, embedding)``, a stated set, from a stored index.
+
+    With ``centroids``, a query looks into the lists of its ``n_probe`` nearest ones, and lists that none asks for aren't read (``index`` is laid out
+    by ``cluster``). With ``books``, the ``candidates`` nearest by ``codes`` are ranked by their cosine. Queries are sent in blocks of 4,096;
+    a task multiplies matrices and gives its best of each query. A vector that stands in as many lists as ``copies`` counts once.
+    """
+    spark = index.sparkSession
+    out: DataFrame | None = None
+    asked = queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator()
+    while block := list(islice(asked, 4096)):
+        ids, q = np.array([r["query_id"] for r in block], np.int64), np.array([r["embedding"] for r in block], np.float64)
+        own, probed = index, None
+        if centroids is not None:
+            near = nearest(q, centroids, n_probe)
+            probed = np.zeros((len(q), len(centroids)), bool)
+            np.put_along_axis(probed, near, True, 1)
+            own = own.where(F.col("cluster").isin(np.unique(near).tolist()))
+        tables = None
+        if books is not None:
+            width = books.shape[2]
+            tables = np.stack([((q[:, None, p * width : (p + 1) * width] - b[None]) ** 2).sum(-1) for p, b in enumerate(books)])
+        sent = spark.sparkContext.broadcast((ids, unit(q), probed, tables))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            ids, q, probed, tables = sent.value
+            best: pd.DataFrame | None = None
+            for b in batches:
+                if not len(b):
+                    continue
+                s = q @ unit(matrix(b.column(1))).T
+                far = -s
+                if tables is not None:
+                    codes = matrix(b.column(b.schema.get_field_index("codes"))).astype(np.int64)
+                    far = np.round(sum(t[:, codes[:, p]] for p, t in enumerate(tables)), 9)
+                if probed is not None:
+                    far = np.where(probed[:, b.column(b.schema.get_field_index("cluster")).to_numpy()], far, np.inf)
+                m = min(copies * (candidates or k), far.shape[1])
+                edge = np.partition(far, m - 1, axis=1)[:, m - 1][:, None]  # all that could be among the best: ties are settled by id
+                r, c = np.nonzero((far <= edge) & (far < np.inf))
+                found = pd.DataFrame({"query_id": ids[r], "id": b.column(0).to_numpy()[c], "far": far[r, c], "score": s[r, c]})
+                best = found if best is None else pd.concat([best, found])
+                best = best.drop_duplicates(["query_id", "id"]).sort_values(["query_id", "far", "id"]).groupby("query_id").head(candidates or k)
+            if best is not None:
+                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+        columns = [id_col, "embedding", *(["cluster"] if centroids is not None else []), *(["codes"] if books is not None else [])]
+        part = own.where("embedding is not null").select(*columns).mapInArrow(run, "query_id long, id long, far double, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, id long, score double")
+    out = out.dropDuplicates(["query_id", "id"])
+    if books is not None:
+        near = Window.partitionBy("query_id").orderBy("far", "id")
+        out = out.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= candidates)
+    return multi_rank(out, ["query_id"]).where(F.col("rank") <= k).select("query_id", "id", "score")
 
 
 class HNSW:
@@ -221,59 +272,53 @@ class HNSW:
         return [(j, s) for s, j in self._near(q, at, 0, max(self.ef, k))[:k]]
 
 
-def hnsw_topk(rows: DataFrame, query: list[float], k: int, shard: int = 20_000, id_col: str = "vec_id") -> DataFrame:
-    """Best k of a graph for each slice of at most ``shard`` rows of a task, merged. A deleted row never enters a graph, so k rows are found."""
+def hnsw_build(rows: DataFrame, folder: str, shard: int = 20_000, id_col: str = "vec_id") -> DataFrame:
+    """Graphs of at most ``shard`` rows each, written as rows ``(ids, graph)`` of a table in ``folder``. A deleted row never enters a graph."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def best() -> pd.DataFrame:
-            b = pd.concat(held, ignore_index=True)
-            found = HNSW(np.array(b["embedding"].tolist(), np.float64)).search(np.array(query), k)
-            return pd.DataFrame({"id": [int(b[id_col][j]) for j, _ in found], "score": [s for _, s in found]})
+        def graph() -> pa.RecordBatch:
+            ids, x = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([pickle.dumps(HNSW(x), protocol=5)], pa.binary())], names=["ids", "graph"])
 
         for b in batches:
             for at in range(0, len(b), shard):
-                held.append(b.iloc[at : at + shard])
-                size += len(held[-1])
+                part = b.slice(at, shard)
+                held.append((part.column(0).to_numpy(), matrix(part.column(1))))
+                size += len(part)
                 if size >= shard:
-                    yield best()
+                    yield graph()
                     held, size = [], 0
         if size:
-            yield best()
+            yield graph()
 
-    return rows.where("embedding is not null").select(id_col, "embedding").mapInPandas(run, "id long, score double").orderBy(F.desc("score"), "id").limit(k)
+    rows.where("embedding is not null").select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, "ids array<long>, graph binary").write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
 
 
-def hnsw_batch_topk(rows: DataFrame, queries: DataFrame, k: int, shard: int = 20_000, id_col: str = "vec_id") -> DataFrame:
-    """``(query_id, id, score)``: best k for each of ``queries(query_id, embedding)``, a stated set, from the graphs that ``hnsw_topk`` makes."""
-    asked = queries.select("query_id", "embedding").collect()
-    sent = rows.sparkSession.sparkContext.broadcast(([int(r["query_id"]) for r in asked], [np.array(r["embedding"], np.float64) for r in asked]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
+def hnsw_search(graphs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, score)``: the best k of all graphs for each of ``queries(query_id, embedding)``, a stated set in blocks."""
+    spark = graphs.sparkSession
+    out: DataFrame | None = None
+    asked = queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator()
+    while block := list(islice(asked, 4096)):
+        sent = spark.sparkContext.broadcast(([int(r["query_id"]) for r in block], [np.array(r["embedding"], np.float64) for r in block]))
 
-        def best() -> pd.DataFrame:
-            b = pd.concat(held, ignore_index=True)
-            graph = HNSW(np.array(b["embedding"].tolist(), np.float64))
-            ids = b[id_col].tolist()
-            found = [(q, int(ids[j]), s) for q, v in zip(*sent.value, strict=True) for j, s in graph.search(v, k)]
-            return pd.DataFrame(found, columns=["query_id", "id", "score"])
-
-        for b in batches:
-            for at in range(0, len(b), shard):
-                held.append(b.iloc[at : at + shard])
-                size += len(held[-1])
-                if size >= shard:
-                    yield best()
-                    held, size = [], 0
-        if size:
-            yield best()
-
-    found = rows.where("embedding is not null").select(id_col, "embedding").mapInPandas(run, "query_id long, id long, score double")
-    return multi_rank(found, ["query_id"]).where(F.col("rank") <= k).drop("rank")
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for b in batches:
+                for ids, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    graph = pickle.loads(body)
+                    found = [(q, ids[j], s) for q, v in zip(*sent.value, strict=True) for j, s in graph.search(v, k)]
+                    if found:
+                        yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["query_id", "id", "score"]), preserve_index=False)
+
+        part = graphs.select("ids", "graph").mapInArrow(run, "query_id long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, id long, score double")
+    return multi_rank(out, ["query_id"]).where(F.col("rank") <= k).drop("rank")
 
 
 def by_modality(records: DataFrame, query: list[float], modality: str | None, k: int) -> DataFrame:

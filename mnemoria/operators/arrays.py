@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hyperslab(start: list[int], stride: list[int], count: list[int], block: list[int], dims: list[str]) -> Column:
@@ -157,9 +161,28 @@ def sequential(accesses: DataFrame, by: str, order: str, size: int) -> DataFrame
     return s.groupBy(by).agg(F.count("*").alias("n"), F.count_if("seq").alias("n_sequential"))
 
 
-def lanes(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """A lane for each row by its hash."""
-    return rows.withColumn("lane", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n)))
+def seeded_lane(index: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The lane of each index by a seeded multiply-and-shift hash of 64 bits."""
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        k = np.uint64(0x517CC1B727220A95)
+        x = x * k
+        x = (x ^ (x >> np.uint64(33))) * k
+        return x ^ (x >> np.uint64(29))
+
+    return (mixed(np.uint64(seed) ^ mixed(index.astype(np.uint64))) % np.uint64(max(n, 1))).astype(np.int32)
+
+
+def hash_lanes(rows: DataFrame, index: str, n: int, seed: int) -> DataFrame:
+    """``lane`` for each row by its index: every task finds the same ones without asking others."""
+    out = T.StructType([*rows.schema.fields, T.StructField("lane", T.IntegerType())])
+    at = rows.columns.index(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seeded_lane(b.column(at).to_numpy(), n, seed))], names=out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def balanced_lanes(rows: DataFrame, order: list[str], n: int) -> DataFrame:

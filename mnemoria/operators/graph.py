@@ -15,7 +15,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, evaluated and kept in the session's checkpoint folder; a local one is set only where it has none, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemoria-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnemoria-"))
     return df.checkpoint()
 
 
@@ -67,14 +70,23 @@ def spread(edges: DataFrame, seeds: dict[int, float], decay: float, least: float
 def resolve(names: DataFrame, entities: DataFrame, max_distance: int) -> DataFrame:
     """``(name, id, distance)``: for each name the entity with the least edit distance within the bound; ties go to the smallest id.
 
-    Within the bound lengths differ by no more than it, so candidates are joined by length instead of all with all;
-    null id and distance where nothing is near.
+    An entity's name is cut into one piece more than edits are allowed. One of them stands unchanged in any name within the bound, at most
+    so many places away, so candidates are joined by piece and length instead of all with all. Case doesn't count; null id and
+    distance where nothing is near.
     """
-    lengths = F.explode(F.sequence(F.length("name") - max_distance, F.length("name") + max_distance)).alias("len")
-    asked = names.select("name").distinct()
-    near = asked.select("name", lengths).join(entities.select("id", F.col("name").alias("own"), F.length("name").alias("len")), "len")
-    d = F.levenshtein(F.lower("name"), F.lower("own"), max_distance)
-    near = near.withColumn("distance", d).where("distance >= 0")
+    parts = max_distance + 1
+    cut = lambda n, i: F.floor(n * i / parts).cast("int")
+    asked = names.select("name").where("name is not null").distinct()
+    each = F.explode(F.sequence(F.lit(0), F.lit(max_distance))).alias("part")
+    own = entities.where("name is not null").select("id", F.lower("name").alias("own"), F.length("name").alias("len"), each)
+    own = own.select("id", "own", "len", "part", F.expr(f"substring(own, cast(floor(len * part / {parts}) as int) + 1, cast(floor(len * (part + 1) / {parts}) as int) - cast(floor(len * part / {parts}) as int))").alias("piece"))
+    n = F.length("name")
+    wide = asked.select("name", F.lower("name").alias("low"), F.explode(F.sequence(F.greatest(n - max_distance, F.lit(0)), n + max_distance)).alias("len"))
+    wide = wide.select("*", each).withColumns({"from": cut(F.col("len"), F.col("part")), "to": cut(F.col("len"), F.col("part") + 1)})
+    wide = wide.withColumn("shift", F.explode(F.sequence(F.lit(-max_distance), F.lit(max_distance)))).where("`from` + shift >= 0 and `to` + shift <= length(low)")
+    wide = wide.select("name", "low", "len", "part", F.expr("substring(low, `from` + shift + 1, `to` - `from`)").alias("piece")).distinct()
+    near = wide.join(own, ["len", "part", "piece"]).select("name", "low", "id", "own").distinct()
+    near = near.withColumn("distance", F.levenshtein("low", "own", max_distance)).where("distance >= 0")
     best = near.groupBy("name").agg(F.min(F.struct("distance", "id")).alias("b"))
     return asked.join(best, "name", "left").select("name", F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))
 
@@ -110,3 +122,23 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def resolve_or_create(found: DataFrame, entities: DataFrame, max_distance: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``(found with id and created, entities with what was created)`` for ``found(text, type, ...)`` in the order of its column ``seq``.
+
+    A text is the existing entity with the least edit distance within the bound, whatever its type. Texts that are none are new entities, one
+    for each text whatever its case, of the first one's type, with ids from the largest on. A batch is resolved against what was there before it:
+    texts of one batch don't become each other.
+    """
+    from .store import numbered
+
+    near = resolve(found.select(F.col("text").alias("name")), entities, max_distance).where("id is not null").select(F.col("name").alias("text"), "id")
+    known = found.join(near, "text").withColumn("created", F.lit(False))
+    fresh = found.join(near.select("text"), "text", "left_anti").withColumn("_low", F.lower("text"))
+    first = fresh.groupBy("_low").agg(F.min("seq").alias("_first"), F.min_by("text", "seq").alias("name"), F.min_by("type", "seq").alias("entity_type"))
+    most = entities.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("_next"))
+    new = numbered(first, ["_first"], "_k").crossJoin(F.broadcast(most)).withColumn("id", F.col("_k") + F.col("_next"))
+    made = fresh.join(new.select("_low", "id"), "_low").drop("_low").withColumn("created", F.lit(True))
+    grown = entities.select("id", "name", "entity_type").unionByName(new.select("id", "name", "entity_type"))
+    return known.unionByName(made), grown

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +64,80 @@ def compact(memory: DataFrame) -> DataFrame:
     return numbered(active, ["old_id"], "mem_id")
 
 
+def delete_and_compact(memory: DataFrame, ids: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Delete, and compact if more than ``threshold`` of all rows are then deleted; ``old_id`` is the id before, the same where nothing was compacted."""
+    left = delete(memory, ids)
+    if needs_compaction(left, threshold).first()["compact"]:
+        return compact(left)
+    return left.withColumn("old_id", F.col("mem_id"))
+
+
+def run_compaction(memory: DataFrame, factor: float = 0.98) -> DataFrame:
+    """What a session's end does: weights decay, deleted rows go, ids are renumbered (``old_id`` is the map back). Write it with ``flush``."""
+    return compact(tick(memory, factor))
+
+
+def run_consolidation(memory: DataFrame, now: float, config: object = None) -> DataFrame:
+    """One row of counts of a trial cycle over the active rows; nothing is written back.
+
+    Every row begins in Working, as important as it is active, not yet used, touched now.
+    """
+    from . import tiers
+
+    config = config or tiers.Config()
+    active = memory.where(F.coalesce(F.col("tombstone"), F.lit(0)) == 0)
+    records = active.select(F.col("mem_id").alias("id"), F.lit("Working").alias("tier"), F.col("activation").alias("importance"), F.lit(0).alias("access_count"), F.lit(now).alias("last_accessed"))
+    n = lambda tier: F.count_if(F.col("tier") == tier).alias(tier.lower())
+    after = tiers.consolidate(records, now, config).agg(n("Working"), n("Episodic"), n("Semantic"))
+    total = records.agg(F.count("*").alias("total"))
+    return after.crossJoin(F.broadcast(total)).withColumn("evicted", F.col("total") - F.col("working") - F.col("episodic") - F.col("semantic"))
+
+
+def record(memory: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
+    """Append what a strategy saves of exchanges, in the given order; columns that entries lack are null."""
+    own = [F.col(c) if c in entries.columns else F.lit(None).cast(memory.schema[c].dataType).alias(c) for c in memory.columns if c != "mem_id"]
+    rows = entries.select(*own, *[c for c in order if c not in memory.columns])
+    rows = rows.withColumn("mem_id", F.lit(None).cast("long"))
+    return append(memory, rows, order)
+
+
+def flush(df: DataFrame, folder: str) -> str:
+    """Write all of ``df`` as the next version of the table in ``folder``; it becomes the current one when it is whole.
+
+    A version is written under a name of its own, so readers go on with theirs and a lost job leaves the current one as it was. The last
+    row of the table of versions names the current one.
+    """
+    spark = df.sparkSession
+    path = f"{folder}/data/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    n = len(_versions(spark, folder))
+    spark.createDataFrame([(n, path)], "version long, path string").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    return path
+
+
+def _versions(spark: SparkSession, folder: str) -> list:
+    try:
+        return spark.read.schema("version long, path string").parquet(f"{folder}/versions").orderBy("version").collect()  # a row for each flush
+    except AnalysisException:
+        return []
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(_versions(spark, folder)[-1]["path"])
+
+
+def snapshot(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """A copy of the current version, whole or not there."""
+    current(spark, folder).write.parquet(target)
+    return spark.read.parquet(target)
+
+
+def mark_verified(provenance: DataFrame, ids: DataFrame) -> DataFrame:
+    """``provenance(record_id, verified, ...)`` with those of ``ids(record_id)`` verified."""
+    hit = ids.select("record_id").distinct().withColumn("_hit", F.lit(True))
+    return provenance.join(hit, "record_id", "left").withColumn("verified", F.coalesce(F.col("_hit"), F.lit(False)) | F.col("verified")).drop("_hit")
+
+
 def replay(memory: DataFrame, log: DataFrame) -> DataFrame:
     """Fold a change log ``(seq, op, mem_id, chunk)``: saves append in order, then tombstones apply to what is there."""
     saves = log.where("op = 'save'").select("seq", "chunk")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import text
+from .retrieval import batch_topk
 
 
 def save_every(exchanges: DataFrame, mode: str = "combined") -> DataFrame:
-    """Rows to save for each exchange: both turns as one text, either turn, or both; messages that the gate stops are left out."""
+    """Rows to save for each exchange: both turns as one text, either turn, or both; messages that the gate stops are left out, and so are null ones."""
     both = F.concat("user_turn", F.lit("\n---\n"), "agent_turn")
-    keep = exchanges.where(text.gate_reason(F.col("user_turn")).isNull())
+    keep = exchanges.where(text.gate_reason(F.coalesce("user_turn", F.lit(""))).isNull())
     base = [c for c in exchanges.columns if c not in ("user_turn", "agent_turn")]
     one = lambda c, channel: keep.select(*base, c.alias("chunk"), F.lit(channel).alias("source_channel"))
     if mode == "combined":
@@ -23,18 +26,22 @@ def save_every(exchanges: DataFrame, mode: str = "combined") -> DataFrame:
     return one(F.col("user_turn"), "user").unionByName(one(F.col("agent_turn"), "agent"))
 
 
-def on_correction(exchanges: DataFrame, otherwise: DataFrame) -> DataFrame:
-    """Corrections are saved whatever the gate says; the rest is up to another strategy's rows."""
-    hit = exchanges.where(text.is_correction(F.col("user_turn")))
+def on_correction(exchanges: DataFrame, otherwise: Callable[[DataFrame], DataFrame] = save_every) -> DataFrame:
+    """Corrections are saved whatever the gate says; what becomes of the other exchanges is up to another strategy."""
+    corrects = F.coalesce(text.is_correction(F.col("user_turn")), F.lit(False))
     base = [c for c in exchanges.columns if c not in ("user_turn", "agent_turn")]
-    own = hit.select(*base, F.concat("user_turn", F.lit("\n---\n"), "agent_turn").alias("chunk"), F.lit("correction").alias("source_channel"))
-    return own.unionByName(otherwise.join(hit.select(*base), base, "left_anti"))
+    own = exchanges.where(corrects).select(*base, F.concat("user_turn", F.lit("\n---\n"), "agent_turn").alias("chunk"), F.lit("correction").alias("source_channel"))
+    return own.unionByName(otherwise(exchanges.where(~corrects)))
+
 
+def semantic_shift(new: DataFrame, stored: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """``(id, top, decision)`` for ``new(id, embedding)``: Duplicate if the nearest row of the store is closer than the shift asks.
 
-def semantic_shift(new: DataFrame, stored: DataFrame, keys: list[str], threshold: float = 0.25) -> DataFrame:
-    """``(id, top, decision)``: Duplicate if the nearest stored row of the same keys is closer than the shift asks."""
-    s = stored.select(*keys, F.col("embedding").alias("_v"))
-    j = new.join(s, keys, "left").groupBy("id").agg(F.max(vectors.cosine(F.col("embedding"), F.col("_v"))).alias("top"))
+    New rows are what is about to be saved. They are held against the whole store in blocks, a product of matrices in each task, and
+    each task gives one number for each of them. A row without an embedding, or an empty store, has no top.
+    """
+    top = batch_topk(stored, new.select(F.col("id").alias("query_id"), "embedding").where("embedding is not null"), 1, "id")
+    j = new.select("id").join(top.select(F.col("query_id").alias("id"), F.col("score").alias("top")), "id", "left")
     return j.withColumn("decision", F.when(F.coalesce(F.col("top"), F.lit(-1.0)) > 1 - threshold, "Duplicate").otherwise("Save"))
 
 
@@ -43,24 +50,32 @@ def _micros() -> Column:
     return F.round(F.col("timestamp") * 1e6).cast("long")
 
 
-def rate_alerts(events: DataFrame, partition: list[Column | str], most: int = 60, window: float = 60.0) -> DataFrame:
-    """Writes in the minute up to each event, the event included, and the alert they raise.
+def _over_past(events: DataFrame, window: float, **values: Column) -> DataFrame:
+    """``events`` with aggregates over all events of the ``window`` seconds up to each of them, both ends included.
 
-    The window is over ``partition``; over all writes it is one sorted run, which suits a batch of bounded size, so give the
-    writer or shard whose rate is limited.
+    A window over everything would be one sorted run. Events are dealt by spans of time as long as the window, and each
+    stands in its own span and, for those that look back, in the next one; a span is a run of its own.
     """
-    w = Window.partitionBy(*partition).orderBy(_micros()).rangeBetween(-round(window * 1e6), 0)
-    n = F.count("*").over(w)
-    return events.withColumn("in_window", n).withColumn("severity", F.when(F.col("in_window") > 3 * most, "Critical").when(F.col("in_window") > 2 * most, "High").when(F.col("in_window") > most, "Medium"))
+    micros = round(window * 1e6)
+    span = F.floor(F.col("_at") / micros).cast("long")
+    at = events.withColumn("_at", _micros())
+    both = at.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_span", F.when(F.col("_own"), span).otherwise(span + 1))
+    w = Window.partitionBy("_span").orderBy("_at").rangeBetween(-micros, 0)
+    return both.withColumns({k: v.over(w) for k, v in values.items()}).where("_own").drop("_at", "_own", "_span")
+
+
+def rate_alerts(events: DataFrame, most: int = 60, window: float = 60.0) -> DataFrame:
+    """All writes in the minute up to each event, the event included, and the alert they raise."""
+    e = _over_past(events, window, in_window=F.count("*"))
+    return e.withColumn("severity", F.when(F.col("in_window") > 3 * most, "Critical").when(F.col("in_window") > 2 * most, "High").when(F.col("in_window") > most, "Medium"))
 
 
 def session_alerts(events: DataFrame, most: int = 500) -> DataFrame:
     return events.groupBy("session_id").agg(F.count("*").alias("writes")).withColumn("severity", F.when(F.col("writes") > most, "High"))
 
 
-def source_alerts(events: DataFrame, partition: list[str], least: int = 10, share: float = 0.8, window: float = 60.0) -> DataFrame:
-    """The share of user writes in the minute up to each event; an alert over ``share`` of at least ``least`` writes."""
-    w = Window.partitionBy(*partition).orderBy(_micros()).rangeBetween(-round(window * 1e6), 0)
-    e = events.withColumns({"in_window": F.count("*").over(w), "user_share": F.avg((F.col("source") == "User").cast("double")).over(w)})
+def source_alerts(events: DataFrame, least: int = 10, share: float = 0.8, window: float = 60.0) -> DataFrame:
+    """The share of user writes among all in the minute up to each event; an alert over ``share`` of at least ``least`` writes."""
+    e = _over_past(events, window, in_window=F.count("*"), user_share=F.avg(F.coalesce(F.col("source") == "User", F.lit(False)).cast("double")))
     hit = (F.col("in_window") >= least) & (F.col("user_share") > share)
     return e.withColumn("severity", F.when(hit & (F.col("user_share") >= 0.95), "High").when(hit, "Medium"))

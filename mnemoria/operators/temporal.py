@@ -35,20 +35,21 @@ def overlapping(sessions: DataFrame, lo: float, hi: float) -> DataFrame:
     return sessions.where((F.col("start_ts") <= hi) & (F.coalesce("end_ts", F.lit(float("inf"))) >= lo))
 
 
-def chains(sessions: DataFrame, starts: DataFrame, doublings: int = 12) -> DataFrame:
+def chains(sessions: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start, session, steps)``: from each of ``starts(session)`` up through its parents; stops where a parent is missing or met before.
 
     Jumps double in length, so a chain of n sessions takes log n joins. What a cycle meets again counts at its first meeting.
     """
     known = sessions.select(F.col("session").alias("at"))
     jump = cut(sessions.where("parent is not null").select(F.col("session").alias("at"), F.col("parent").alias("to")).join(known.select(F.col("at").alias("to")), "to", "left_semi"))
-    reach = starts.select(F.col("session").alias("start"), F.col("session").alias("at")).join(known, "at", "left_semi").withColumn("steps", F.lit(0))
-    for k in range(doublings):
-        more = reach.join(jump, "at").select("start", F.col("to").alias("at"), (F.col("steps") + (1 << k)).alias("steps"))
-        before = reach.count() if k == 0 else size
+    reach = starts.select(F.col("session").alias("start"), F.col("session").alias("at")).join(known, "at", "left_semi").withColumn("steps", F.lit(0).cast("long"))
+    reach = cut(reach.distinct())
+    size, length = reach.count(), 1
+    while True:
+        more = reach.join(jump, "at").select("start", F.col("to").alias("at"), (F.col("steps") + length).alias("steps"))
         reach = cut(reach.unionByName(more).groupBy("start", "at").agg(F.min("steps").alias("steps")))
-        size = reach.count()
-        if size == before:
+        before, size, length = size, reach.count(), 2 * length
+        if size == before:  # neither a longer chain nor a cycle adds anything
             break
         far = jump.select(F.col("at").alias("to"), F.col("to").alias("end"))
         jump = cut(jump.join(far, "to").select("at", F.col("end").alias("to")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,18 +73,45 @@ def promotable(entries: DataFrame, now: float, accesses: int, dim: int) -> DataF
     return live(entries, now).where(F.col("access_count") >= accesses).select("key", F.concat(F.lit("ephemeral::"), "key").alias("source_channel"), F.coalesce("text", F.lit("")).alias("chunk"), F.coalesce("embedding", zero).alias("embedding"), F.lit(1.0).alias("activation"))
 
 
-def earlier_surprise(rows: DataFrame, block_col: str, id_col: str = "id") -> DataFrame:
-    """``(id, surprise)``: 1 minus the largest cosine with an earlier row of the same block, within 0 and 1; 1 for the first.
+def surprise(rows: DataFrame, working: DataFrame, id_col: str = "id", block: int = 4096) -> DataFrame:
+    """``(id, surprise)``: 1 minus the largest cosine with an earlier row (by id) of the working tier, within 0 and 1; 1 where there is none.
 
-    Blocks are sessions, bounded by what one conversation holds; pairs are made within a block only.
+    The working tier has a capacity. Its rows are sent to the tasks in blocks, one at a time through the driver, and multiplied
+    there, so no pairs are made; a row comes out once for each block.
     """
-    from ..functions import vectors
-
-    a = rows.select(F.col(id_col).alias("id"), F.col(block_col).alias("block"), F.col("embedding").alias("va"))
-    b = rows.select(F.col(id_col).alias("other"), F.col(block_col).alias("block"), F.col("embedding").alias("vb"))
-    j = a.join(b, (a["block"] == b["block"]) & (F.col("other") < F.col("id")), "left")
-    s = j.groupBy("id").agg(F.max(vectors.cosine(F.col("va"), F.col("vb"))).alias("top"))
-    return s.select("id", F.least(F.greatest(1 - F.coalesce("top", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("surprise"))
+    spark = rows.sparkSession
+    asked = rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding")
+    out: DataFrame | None = None
+
+    def against(held: list) -> DataFrame:
+        ids = np.array([r["id"] for r in held], np.int64)
+        v = np.array([r["embedding"] for r in held], np.float64)
+        sent = spark.sparkContext.broadcast((ids, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, v = sent.value
+            for b in batches:
+                x = np.array(b["embedding"].tolist(), np.float64).reshape(len(b), -1)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ v.T if len(b) else np.zeros((0, len(v)))
+                s[ids[None, :] >= b["id"].to_numpy()[:, None]] = -np.inf
+                yield pd.DataFrame({"id": b["id"], "top": s.max(1)})
+
+        return asked.mapInPandas(run, "id long, top double")
+
+    held: list = []
+    for r in working.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out = against(held) if out is None else out.unionByName(against(held))
+            held = []
+    if held:
+        out = against(held) if out is None else out.unionByName(against(held))
+    if out is None:
+        return asked.select("id", F.lit(1.0).alias("surprise"))
+    s = out.groupBy("id").agg(F.max("top").alias("top"))
+    top = F.when(F.col("top") > float("-inf"), F.col("top")).otherwise(0.0)
+    return s.select("id", F.least(F.greatest(1 - top, F.lit(0.0)), F.lit(1.0)).alias("surprise"))
 
 
 def evict_rank(records: DataFrame) -> DataFrame:

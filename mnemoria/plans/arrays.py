@@ -30,9 +30,9 @@ def chunk_prune(spark: SparkSession, sf: str) -> DataFrame:
     return A.chunks_hit(grid(spark, sf), DIMS, [50, 16], [120, 20], [240, 40])
 
 
-@query("selection_write", " SELECT i0, i1, round(CASE WHEN i0 BETWEEN 10 AND 19 AND i1 % 4 = 0 THEN -1.0 ELSE value END, 6) AS value FROM v_grid WHERE i0 < 40", "v_grid")
+@query("selection_write", " SELECT i0, i1, round(CASE WHEN i0 BETWEEN 10 AND 19 AND i1 % 4 = 0 THEN -1.0 ELSE value END, 6) AS value FROM v_grid", "v_grid")
 def selection_write(spark: SparkSession, sf: str) -> DataFrame:
-    g = grid(spark, sf).where("i0 < 40")
+    g = grid(spark, sf)
     return A.overwrite(g, g.where("i0 between 10 and 19 and i1 % 4 = 0").withColumn("value", F.lit(-1.0)), DIMS).withColumn("value", F.round("value", 6))
 
 
@@ -55,9 +55,9 @@ def stripe_map(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("byte_at", f.alias("file"), p.alias("place"))
 
 
-@query("cf_unpack", ", p AS (SELECT i0, i1, CASE WHEN i1 = 0 THEN -9999 ELSE CAST(round(value * 1000) AS BIGINT) END AS packed FROM v_grid WHERE i0 < 100) SELECT i0, i1, CASE WHEN packed = -9999 THEN 'nan' ELSE CAST(round(packed * 0.01::DOUBLE + 273.15::DOUBLE, 6) AS VARCHAR) END AS physical FROM p", "v_grid")
+@query("cf_unpack", ", p AS (SELECT i0, i1, CASE WHEN i1 = 0 THEN -9999 ELSE CAST(round(value * 1000) AS BIGINT) END AS packed FROM v_grid) SELECT i0, i1, CASE WHEN packed = -9999 THEN 'nan' ELSE CAST(round(packed * 0.01::DOUBLE + 273.15::DOUBLE, 6) AS VARCHAR) END AS physical FROM p", "v_grid")
 def cf_unpack(spark: SparkSession, sf: str) -> DataFrame:
-    p = grid(spark, sf).where("i0 < 100").select("i0", "i1", F.when(F.col("i1") == 0, -9999.0).otherwise(F.round(F.col("value") * 1000)).alias("packed"))
+    p = grid(spark, sf).select("i0", "i1", F.when(F.col("i1") == 0, -9999.0).otherwise(F.round(F.col("value") * 1000)).alias("packed"))
     u = A.cf_unpack(F.col("packed"), F.lit(0.01), F.lit(273.15), F.lit(-9999.0), F.lit(None).cast("double"))
     return p.select("i0", "i1", F.when(F.isnan(u), "nan").otherwise(F.round(u, 6).cast("string")).alias("physical"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import SearchIndex
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,6 +35,27 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
     return add
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder where the driver and all executors can write: in that of spark.checkpoint.dir, a temporary one only where all is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        return "file://" + tempfile.mkdtemp(prefix="mnemoria-")
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+def search_index(spark: SparkSession, sf: str) -> SearchIndex:
+    """The index over the memory view, written when the first query asks for it."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex.build(memory(spark, sf), shared_folder(spark, "index") + "/search")
+    return _INDEXES[key]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, vectors
 from ..operators import retrieval as R
-from .base import NOW, ephemeral, events, memory, query, table
+from .base import NOW, ephemeral, events, memory, query, search_index, table
 from .base import vectors as vector_rows
 
 QUERY = "Licensed under the the license"
@@ -40,21 +40,22 @@ _POOLED = _VEC.replace("embedding IS NOT NULL)", "embedding IS NOT NULL ORDER BY
 _RERANK = f"0.3::DOUBLE * pow(2.0::DOUBLE, -greatest({NOW}::DOUBLE - timestamp, 0) / 86400.0::DOUBLE) + 0.2::DOUBLE * CASE source_channel WHEN 'user_correction' THEN 1.0 WHEN 'conversation' THEN 0.7 WHEN 'system' THEN 0.4 ELSE 0.2 END + 0.5::DOUBLE * least(greatest(activation, 0), 1)"
 
 
-@query("hybrid_weighted_topk", _TOK + _VEC + _FUSED + " SELECT id, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, id LIMIT 10", "v_memory")
+@query("hybrid_weighted_topk", _TOK + _VEC + _FUSED + " SELECT id, round(score, 6) AS score FROM fused ORDER BY round(fused.score, 9) DESC, id LIMIT 10", "v_memory")
 def hybrid_weighted_topk(spark: SparkSession, sf: str) -> DataFrame:
-    m = memory(spark, sf)
-    fused = R.fuse_weighted(R.cosine_scores(m, probe(spark, sf)), R.bm25(m, QUERY))
-    return R.top(fused, 10).withColumns(r6("score"))
+    return R.top(search_index(spark, sf).fused(QUERY, probe(spark, sf)).withColumn("score", F.round("score", 9)), 10).withColumns(r6("score"))
 
 
-@query("bm25_topk", _TOK + " SELECT id, round(score, 6) AS score FROM kw ORDER BY kw.score DESC, id LIMIT 20", "v_memory")
+@query("bm25_topk", _TOK + " SELECT id, round(score, 6) AS score FROM kw ORDER BY round(kw.score, 9) DESC, id LIMIT 20", "v_memory")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top(R.bm25(memory(spark, sf), QUERY), 20).withColumns(r6("score"))
+    return R.top(search_index(spark, sf).bm25(QUERY).withColumn("score", F.round("score", 9)), 20).withColumns(r6("score"))
 
 
 @query("bm25_stats", _TOK + " SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT df FROM df WHERE term = 'licensed') AS df_0, (SELECT df FROM df WHERE term = 'under') AS df_1, (SELECT df FROM df WHERE term = 'the') AS df_2, (SELECT df FROM df WHERE term = 'license') AS df_3 FROM st", "v_memory")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25_stats(memory(spark, sf), R.query_terms(QUERY)).withColumns(r6("avgdl"))
+    index = search_index(spark, sf)
+    df = index.frequencies(list(dict.fromkeys(R.query_terms(QUERY))))
+    own = {f"df_{i}": F.lit(n).cast("long") for i, n in enumerate(df.values())}
+    return spark.range(1).select(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), *[v.alias(k) for k, v in own.items()])
 
 
 @query(
@@ -68,10 +69,8 @@ def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
     "v_memory",
 )
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    m = memory(spark, sf)
-    stats = R.bm25_stats(m, [])
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    every = R.bm25_batch(R.postings(m), stats, asked, 20).withColumn("s9", F.round("score", 9))
+    every = search_index(spark, sf).bm25_batch(asked, 20).withColumn("s9", F.round("score", 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("s9"), "id")
     return every.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -111,8 +110,8 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     "v_memory",
 )
 def rrf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    m = memory(spark, sf)
-    lists = [x.select("id", F.round("score", 9).alias("score")) for x in (R.cosine_scores(m, probe(spark, sf)), R.bm25(m, QUERY))]
+    index = search_index(spark, sf)
+    lists = [x.select("id", F.round("score", 9).alias("score")) for x in (index.cosine(probe(spark, sf)), index.bm25(QUERY))]
     return R.fuse_rrf(lists).orderBy(F.round("score", 12).desc(), "id").limit(20).withColumns(r6("score"))
 
 
@@ -136,7 +135,7 @@ def confidence_filter(spark: SparkSession, sf: str) -> DataFrame:
     "v_memory",
 )
 def backend_search(spark: SparkSession, sf: str) -> DataFrame:
-    return R.backend_search(memory(spark, sf), QUERY, probe(spark, sf), 10, NOW).select("id", F.round("score", 6).alias("score"))
+    return search_index(spark, sf).search(QUERY, probe(spark, sf), 10, NOW).select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -148,7 +147,7 @@ def backend_search(spark: SparkSession, sf: str) -> DataFrame:
 )
 def unified_search(spark: SparkSession, sf: str) -> DataFrame:
     """Memory and live short-lived entries in one list; the latter count a fifth more."""
-    kept = R.bm25(memory(spark, sf), QUERY).select(F.lit("memory").alias("origin"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("key"), "score")
+    kept = search_index(spark, sf).bm25(QUERY).select(F.lit("memory").alias("origin"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("key"), "score")
     live = ephemeral(spark, sf).where((F.col("expires_at") == 0) | (F.col("expires_at") >= NOW))
     brief = R.expected_term_hits(live, QUERY).select(F.lit("ephemeral").alias("origin"), "key", (F.col("score") * 1.2).alias("score"))
     both = kept.unionByName(brief).withColumn("score", F.round("score", 9))

@@ -46,32 +46,32 @@ _CUES = " OR ".join(f"contains(lower(user_turn), '{c}')" for c in X.CORRECTION_C
 )
 def user_correction(spark: SparkSession, sf: str) -> DataFrame:
     x = exchanges(spark, sf)
-    return S.on_correction(x, S.save_every(x)).select("conv_id", "turn_number", F.md5("chunk").alias("digest"), "source_channel")
+    return S.on_correction(x).select("conv_id", "turn_number", F.md5("chunk").alias("digest"), "source_channel")
 
 
 @query(
     "semantic_shift",
-    """, s AS (SELECT a.vec_id AS id, max(list_cosine_similarity(a.v, b.v)) AS top FROM v_vec a LEFT JOIN v_vec b ON a.label = b.label AND b.vec_id % 2 = 0 WHERE a.vec_id % 2 = 1 GROUP BY a.vec_id)
+    """, s AS (SELECT a.vec_id AS id, max(list_cosine_similarity(a.v, b.v)) AS top FROM v_vec a, v_vec b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0 GROUP BY a.vec_id)
  SELECT id, round(top, 6) AS top, CASE WHEN coalesce(top, -1) > 0.75 THEN 'Duplicate' ELSE 'Save' END AS decision FROM s""",
     "v_vec",
 )
 def semantic_shift(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with an id divisible by 50 are about to be saved; all others are the store."""
     v = vector_rows(spark, sf).withColumnRenamed("vec_id", "id")
-    return S.semantic_shift(v.where("id % 2 = 1"), v.where("id % 2 = 0"), ["label"]).withColumn("top", F.round("top", 6))
+    return S.semantic_shift(v.where("id % 50 = 0"), v.where("id % 50 <> 0")).withColumn("top", F.round("top", 6))
 
 
-_W = "WINDOW w AS (PARTITION BY session_id % 10 ORDER BY timestamp RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)"
+_W = "WINDOW w AS (ORDER BY epoch RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)"
 
 
-@query("anomaly_rate", f", r AS (SELECT event_id, count(*) OVER w AS in_window FROM v_event {_W}) SELECT event_id, in_window, CASE WHEN in_window > 6 THEN 'Critical' WHEN in_window > 4 THEN 'High' WHEN in_window > 2 THEN 'Medium' END AS severity FROM r", "v_event")
+@query("anomaly_rate", f", r AS (SELECT event_id, count(*) OVER w AS in_window FROM (SELECT *, CAST(round(timestamp * 1e6) AS BIGINT) AS epoch FROM v_event) {_W}) SELECT event_id, in_window, CASE WHEN in_window > 30 THEN 'Critical' WHEN in_window > 20 THEN 'High' WHEN in_window > 10 THEN 'Medium' END AS severity FROM r", "v_event")
 def anomaly_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return S.rate_alerts(events(spark, sf), [F.col("session_id") % 10], most=2, window=3600.0).select("event_id", "in_window", "severity")
+    return S.rate_alerts(events(spark, sf), most=10, window=3600.0).select("event_id", "in_window", "severity")
 
 
-@query("anomaly_source", f", r AS (SELECT event_id, count(*) OVER w AS in_window, avg(CASE WHEN source = 'User' THEN 1.0 ELSE 0.0 END) OVER w AS user_share FROM v_event {_W}) SELECT event_id, in_window, round(user_share, 6) AS user_share, CASE WHEN in_window >= 2 AND user_share > 0.5 THEN CASE WHEN user_share >= 0.95 THEN 'High' ELSE 'Medium' END END AS severity FROM r", "v_event")
+@query("anomaly_source", f", r AS (SELECT event_id, count(*) OVER w AS in_window, avg(CASE WHEN source = 'User' THEN 1.0 ELSE 0.0 END) OVER w AS user_share FROM (SELECT *, CAST(round(timestamp * 1e6) AS BIGINT) AS epoch FROM v_event) {_W}) SELECT event_id, in_window, round(user_share, 6) AS user_share, CASE WHEN in_window >= 10 AND user_share > 0.3 THEN CASE WHEN user_share >= 0.95 THEN 'High' ELSE 'Medium' END END AS severity FROM r", "v_event")
 def anomaly_source(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).withColumn("shard", F.col("session_id") % 10)
-    return S.source_alerts(e, ["shard"], least=2, share=0.5, window=3600.0).select("event_id", "in_window", F.round("user_share", 6).alias("user_share"), "severity")
+    return S.source_alerts(events(spark, sf), least=10, share=0.3, window=3600.0).select("event_id", "in_window", F.round("user_share", 6).alias("user_share"), "severity")
 
 
 @query("session_counts", " SELECT session_id, count(*) AS writes, CASE WHEN count(*) > 70 THEN 'High' END AS severity FROM v_event GROUP BY session_id", "v_event")

@@ -30,14 +30,14 @@ def temporal_before_after(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "session_chain",
-    """, starts AS (SELECT session FROM v_session WHERE user_id % 25 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY start_ts DESC) = 1),
+    """, starts AS (SELECT session FROM v_session QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY start_ts DESC) = 1),
  c AS (SELECT s.session AS start, s.session, s.parent, 0 AS steps FROM v_session s JOIN starts USING (session) UNION ALL SELECT c.start, p.session, p.parent, c.steps + 1 FROM c JOIN v_session p ON p.session = c.parent)
  SELECT start, session, steps FROM c""",
     "v_event v_session",
 )
 def session_chain(spark: SparkSession, sf: str) -> DataFrame:
     s = sessions(spark, sf)
-    last = s.where("user_id % 25 = 0").groupBy("user_id").agg(F.max_by("session", "start_ts").alias("session"))
+    last = s.groupBy("user_id").agg(F.max_by("session", "start_ts").alias("session"))
     return T.chains(s, last)
 
 
@@ -51,9 +51,9 @@ def session_children(spark: SparkSession, sf: str) -> DataFrame:
     return sessions(spark, sf).where("parent is not null").groupBy(F.col("parent").alias("session")).agg(F.count("*").alias("n_children"), F.min("session").alias("first_child"))
 
 
-@query("timeline_history", " SELECT entity_id, property_key, timestamp, old_value, new_value FROM v_timeline WHERE entity_id % 10 = 0", "v_event v_timeline")
+@query("timeline_history", " SELECT entity_id, property_key, timestamp, old_value, new_value FROM v_timeline", "v_event v_timeline")
 def timeline_history(spark: SparkSession, sf: str) -> DataFrame:
-    return timeline(spark, sf).where("entity_id % 10 = 0").select("entity_id", "property_key", "timestamp", "old_value", "new_value")
+    return timeline(spark, sf).select("entity_id", "property_key", "timestamp", "old_value", "new_value")
 
 
 @query("timeline_state_at", f" SELECT entity_id, property_key, arg_max(new_value, (timestamp, seq)) AS value FROM v_timeline WHERE timestamp <= {HI} GROUP BY ALL", "v_event v_timeline")

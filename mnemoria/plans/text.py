@@ -34,7 +34,11 @@ def query_expand(spark: SparkSession, sf: str) -> DataFrame:
     return X.expand_queries(spark.createDataFrame(_ASKED, "query_id long, text string"))
 
 
-@query("query_expand_graph")
+_GRAPH = """ SELECT CAST(n_nationkey AS BIGINT) AS query_id, rank, CASE WHEN rank = 1 THEN 'search errors in ' || r_name ELSE word || ' errors in ' || n_name END AS text, CASE WHEN rank = 1 THEN 'knowledge_graph' ELSE 'synonym' END AS kind, CASE WHEN rank = 1 THEN 0.85 ELSE 0.7 END AS weight
+ FROM nation JOIN region ON r_regionkey = n_regionkey, (VALUES (1, ''), (2, 'find'), (3, 'look for'), (4, 'query'), (5, 'retrieve')) w(rank, word)"""
+
+
+@query("query_expand_graph", _GRAPH)
 def query_expand_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Names of nations in queries, replaced by those of their regions, beside the other rewordings."""
     e = entities(spark, sf)

@@ -15,14 +15,15 @@ _DECAY = f"importance * (access_count + 1) * exp(-{_RATE} * greatest({NOW}::DOUB
 
 @query(
     "importance_score",
-    r""", s AS (SELECT a.id, max(list_cosine_similarity(a.embedding, b.embedding)) AS top FROM v_tier a LEFT JOIN v_tier b ON a.id % 50 = b.id % 50 AND b.id < a.id AND b.embedding IS NOT NULL WHERE a.embedding IS NOT NULL GROUP BY a.id)
+    r""", s AS (SELECT a.id, max(list_cosine_similarity(a.embedding, b.embedding)) AS top FROM v_tier a LEFT JOIN v_tier b ON b.tier = 'Working' AND b.id < a.id AND b.embedding IS NOT NULL WHERE a.embedding IS NOT NULL GROUP BY a.id)
  SELECT id, round(least(greatest(0.5::DOUBLE * least(greatest(1 - coalesce(top, 0), 0), 1) + 0.3::DOUBLE * CASE WHEN source = 'Correction' THEN 1 ELSE 0 END
    + 0.2::DOUBLE * least(len(list_filter(regexp_split_to_array(trim(chunk), '\s+'), lambda x: x <> '')) / 100.0::DOUBLE, 1), 0), 1), 6) AS importance FROM v_tier JOIN s USING (id)""",
     "v_memory v_tier",
 )
 def importance_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tiered(spark, sf).where("embedding is not null").withColumn("block", F.col("id") % 50)
-    s = T.earlier_surprise(rows, "block")
+    """All rows against the working ones before them."""
+    rows = tiered(spark, sf).where("embedding is not null")
+    s = T.surprise(rows, rows.where("tier = 'Working'"))
     done = rows.join(s, "id").withColumn("importance", scores.importance(F.col("surprise"), F.col("source") == "Correction", F.col("chunk")))
     return done.select("id", F.round("importance", 6).alias("importance"))
 

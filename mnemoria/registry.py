@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ann, arrays, base, graph, integrity, retrieval, store, strategy, streams, temporal, text, tiers  # noqa: F401
+from .plans import ann, arrays, base, codecs, graph, integrity, retrieval, store, strategy, streams, temporal, text, tiers  # noqa: F401
 
 FLAGSHIP = "hybrid_weighted_topk"
 

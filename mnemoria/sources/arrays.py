@@ -47,7 +47,7 @@ class ArrayStore:
 
     def children(self, path: str = "/") -> DataFrame:
         base = path.rstrip("/") + "/"
-        return self.catalog().where(F.startswith("path", F.lit(base)) & ~F.contains(F.substring("path", len(base) + 1, 10_000), F.lit("/")))
+        return self.catalog().where(F.startswith("path", F.lit(base)) & ~F.contains(F.expr(f"substring(path, {len(base) + 1})"), F.lit("/")))
 
     def read(self, path: str) -> DataFrame:
         return self.spark.read.parquet(self._files(path))
