@@ -1,5 +1,7 @@
 """Near-dedup of vectors and fingerprints against all pairs."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,9 +56,53 @@ def test_dense_group_is_counted_without_pairs():
     x = np.ones(8) + rng.normal(0, 1e-4, (3000, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     t = cover_tree.CoverTree(x, np.ones(3000, np.int64))
-    n, _, edges = cover_tree.dual_links(t, t, 0.98)
-    assert (n == 2999).all()
-    assert len(edges) < 3 * 3000
+    w = cover_tree.Walk(t, t, 0.98)
+    assert (w.na == 2999).all()
+    assert len(w.edges) < 3 * 3000 and w.compared < 3000
+
+
+def mixture(rng, clustered, clusters, scattered, dim=64):
+    centres = rng.normal(size=(clusters, dim))
+    x = np.concatenate([centres[np.arange(clustered) % clusters] + rng.normal(0, 0.05, (clustered, dim)), rng.normal(size=(scattered, dim))])
+    return x[rng.permutation(len(x))] / 1.0
+
+
+@pytest.mark.parametrize(("scattered", "share"), [(0, 0.05), (1600, 0.9)])
+def test_trees_prune_what_has_clusters(scattered, share):
+    """Of a mixture, what is scattered has to be compared with itself, and groups with their like."""
+    x = mixture(np.random.default_rng(7), 2000 - scattered, 100, scattered)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = cover_tree.CoverTree(x, np.ones(2000, np.int64))
+    w = cover_tree.Walk(t, t, 0.98)
+    assert (w.na == (x @ x.T >= 0.98).sum(1) - 1).all() and w.na.sum() > 0
+    assert len(t.centre) > 100 and w.compared < share * 2000 * 1999 / 2, w.compared
+    a, b = cover_tree.CoverTree(x[:900], np.ones(900, np.int64)), cover_tree.CoverTree(x[900:], np.ones(1100, np.int64))
+    v = cover_tree.Walk(a, b, 0.98)
+    hit = x[:900] @ x[900:].T >= 0.98
+    assert (v.na == hit.sum(1)).all() and (v.nb == hit.sum(0)).all() and v.compared < 1.2 * share * 900 * 1100, v.compared
+
+
+def test_compared_pairs_are_reported(spark):
+    x = mixture(np.random.default_rng(8), 3000, 60, 0, 16)
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist(), i % 60 % 2, "x", 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int, v string, node long")
+    for leaf in (4096, 300):
+        r = cover_tree.pruning(df, leaf=leaf).first()
+        assert r["points"] == 3000 and r["compared"] < 0.2 * r["pairs"], r
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_the_drivers_vectors_have_no_clusters(spark):
+    """No tree prunes much there, but none compares more than a product of matrices does."""
+    r = cover_tree.pruning(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).first()
+    assert 0 < r["compared"] <= 1.5 * 2 * r["pairs"], r
+
+
+def test_one_id_with_two_vectors_is_two_points(spark):
+    e = lambda *x: [float(v) for v in x]
+    rows = [(1, e(1, 0, 0), 0), (1, e(0, 1, 0), 0), (2, e(0, 1, 0.01), 0), (1, e(0, 1, 0), 1), (None, e(1, 0, 0.01), 0), (None, e(5, 0, 0), 3), (None, e(5, 0, 0), 3), ((1 << 60) + 1, e(0, 0, 1), 0)]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1)).collect()
+    key = lambda r: str(r)
+    assert sorted(map(tuple, got), key=key) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (1, 0, 1, True), (None, 1, 1, False), (None, 1, None, False), (None, 1, None, False), ((1 << 60) + 1, 0, (1 << 60) + 1, True)], key=key)
 
 
 def test_levels_are_nested_and_cover():
@@ -67,6 +113,7 @@ def test_levels_are_nested_and_cover():
     for k in range(len(t.centre)):
         d = np.linalg.norm(x[t.members[k]] - x[t.centre[k]], axis=1)
         assert d.max() <= t.radius[k] + 1e-6
+        assert t.centre[k] in t.members[k] or t.bottom[k]
         if not t.bottom[k]:
             assert t.centre[t.kids[k][0]] == t.centre[k]
             assert sorted(np.concatenate([t.members[c] for c in t.kids[k]]).tolist()) == sorted(t.members[k].tolist())
