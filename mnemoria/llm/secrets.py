@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import starts
 from .shared import materialize
 
 #: Kinds in the order in which spans that start together are listed. The first three are the base.
@@ -29,24 +30,16 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _spans(text: Column, pattern: str, found: Column) -> Column:
-    """``array<struct<start, end, hit>>``, in code points, of the matches ``found`` of ``pattern``.
+def _cuts(text: Column, pattern: str, found: Column) -> Column:
+    """What splitting leaves between the matches ``found``, and these: ``array<struct<gap, hit>>``, gap a length; the last has no hit."""
+    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    return F.when(F.size(found) > 0, F.arrays_zip(between.alias("gap"), found.alias("hit")))
 
-    What stands between matches is what splitting leaves, so lengths add up to places. Both arrays are walked once.
-    """
-    between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), found.alias("hit"))
-    nothing = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    step = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) == 0, nothing).otherwise(step)
+
+def _spans(cuts: Column, at: Column) -> Column:
+    """``array<struct<start, end, hit>>``, in code points, of the matches in ``cuts`` that begin at the running sums ``at``."""
+    each = F.zip_with(cuts, at, lambda c, s: F.struct((s + c["gap"]).alias("start"), (s + c["gap"] + F.length(c["hit"])).alias("end"), c["hit"].alias("hit")))
+    return F.coalesce(F.filter(each, lambda x: x["hit"].isNotNull()), F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
 
 def find_parts(docs: DataFrame, *more: Column) -> DataFrame:
@@ -58,7 +51,9 @@ def find_parts(docs: DataFrame, *more: Column) -> DataFrame:
     patterns = [ASSIGN, ACCESS, HEX, IDENTIFIER, RANDOM, ENDPOINT]
     hits = raw.withColumns({f"m{k}": _found(F.col("t"), p) for k, p in enumerate(patterns)})
     some = F.greatest(*[F.size(f"m{k}") for k in range(len(patterns))]) > 0
-    spans = hits.withColumns({f"s{k}": _spans(F.col("t"), p, F.col(f"m{k}")) for k, p in enumerate(patterns)} | {"text_key": F.when(some, F.md5("t"))})
+    cuts = hits.withColumns({f"c{k}": _cuts(F.col("t"), p, F.col(f"m{k}")) for k, p in enumerate(patterns)} | {"text_key": F.when(some, F.md5("t"))})
+    sized = cuts.withColumns({f"n{k}": F.transform(f"c{k}", lambda c: c["gap"] + F.coalesce(F.length(c["hit"]), F.lit(0))) for k in range(len(patterns))})
+    spans = sized.withColumns({f"s{k}": _spans(F.col(f"c{k}"), starts(F.col(f"n{k}"))) for k in range(len(patterns))})
     strong = F.filter("s0", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 8)
 
     def own(spans_: Column, kind: int) -> Column:
@@ -80,12 +75,12 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     some = parts.where(F.size("weak") > 0).select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("p"))
     p = some.select("doc_id", "text_key", "p.*").distinct()
     # roles: 0 identifiers, 1 secrets, 2 base spans
-    by = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "kind")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    own, past = Window.partitionBy("doc_id", "text_key"), (Window.unboundedPreceding, -1)
+    before = own.orderBy("start", "end", "kind").rowsBetween(*past)
+    after = own.orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(*past)  # a frame up to the end would be summed up anew for each row
     roles = {"identifier": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4), "base": F.col("kind") < 3}
-    near = p
-    for name, is_role in roles.items():
-        near = near.withColumn(f"{name}_before", F.max(F.when(is_role, F.col("end"))).over(before)).withColumn(f"{name}_after", F.min(F.when(is_role, F.col("start"))).over(after))
+    near = p.withColumns({f"{name}_before": F.max(F.when(is_role, F.col("end"))).over(before) for name, is_role in roles.items()})
+    near = near.withColumns({f"{name}_after": F.min(F.when(is_role, F.col("start"))).over(after) for name, is_role in roles.items()})
 
     def close(name: str) -> Column:
         return F.coalesce(F.col("start") - F.col(f"{name}_before") <= scope, F.lit(False)) | F.coalesce(F.col(f"{name}_after") - F.col("end") <= scope, F.lit(False))
