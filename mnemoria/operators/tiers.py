@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -115,5 +115,12 @@ def surprise(rows: DataFrame, working: DataFrame, id_col: str = "id", block: int
 
 
 def evict_rank(records: DataFrame) -> DataFrame:
-    """Each record's place in its tier's order of eviction, 1 being the first to go."""
-    return records.withColumn("evict_rank", F.row_number().over(Window.partitionBy("tier").orderBy("decay", "id")))
+    """Each record's place in its tier's order of eviction, 1 being the first to go.
+
+    There are three tiers, so all rows are numbered by ranges of (tier, decay, id), and a tier's first number is taken off.
+    """
+    from .store import numbered
+
+    all_ = numbered(records, ["tier", "decay", "id"], "_n")
+    first = all_.groupBy("tier").agg(F.min("_n").alias("_first"))
+    return all_.join(F.broadcast(first), "tier").withColumn("evict_rank", (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_first")

@@ -29,7 +29,28 @@ def entity_distinct(spark: SparkSession, sf: str) -> DataFrame:
 _ASKED = [(1, "find recent errors in the API"), (2, "what changed yesterday"), (3, "running searches quickly"), (4, "ML model bug")]
 
 
-@query("query_expand")
+#: Written down by the rules: acronyms (0.8), the synonyms of the first group whose phrase stands alone (0.7), times (0.6), endings (0.5).
+_EXPANDED = """ SELECT * FROM (VALUES
+  (1, 1, 'find recent errors in the Application Programming Interface', 'acronym', 0.8),
+  (1, 2, 'look for recent errors in the API', 'synonym', 0.7),
+  (1, 3, 'query recent errors in the API', 'synonym', 0.7),
+  (1, 4, 'retrieve recent errors in the API', 'synonym', 0.7),
+  (1, 5, 'search recent errors in the API', 'synonym', 0.7),
+  (2, 1, 'what changed today', 'temporal', 0.6),
+  (2, 2, 'what changed recent', 'temporal', 0.6),
+  (2, 3, 'what changed last few days', 'temporal', 0.6),
+  (2, 4, 'what changing yesterday', 'morphological', 0.5),
+  (3, 1, 'runned searches quickly', 'morphological', 0.5),
+  (3, 2, 'running searche quickly', 'morphological', 0.5),
+  (3, 3, 'running searches quick', 'morphological', 0.5),
+  (4, 1, 'Machine Learning model bug', 'acronym', 0.8),
+  (4, 2, 'ML model defect', 'synonym', 0.7),
+  (4, 3, 'ML model error', 'synonym', 0.7),
+  (4, 4, 'ML model issue', 'synonym', 0.7),
+  (4, 5, 'ML model problem', 'synonym', 0.7)) t(query_id, rank, text, kind, weight)"""
+
+
+@query("query_expand", _EXPANDED)
 def query_expand(spark: SparkSession, sf: str) -> DataFrame:
     return X.expand_queries(spark.createDataFrame(_ASKED, "query_id long, text string"))
 
