@@ -282,7 +282,7 @@ def find_links(points: DataFrame, tops: dict[int, np.ndarray], threshold: float
 
     small = over_groups(points.where("cells = 1").select("label", "dim", "pid", "v", "weight"), ["label", "dim"], whole, schema, ["pid"])
     large = points.where("cells > 1")
-    if not tops or not large.limit(1).count():
+    if not large.limit(1).count():
         return materialize(small, "links")
 
     # blocks: each written once, with its tree and the cells that it must meet
@@ -301,12 +301,15 @@ def find_links(points: DataFrame, tops: dict[int, np.ndarray], threshold: float
             at = 0
             for key, g in stream_groups(batches, keys):
                 x = _unit(g["v"].tolist())
-                top, mine = tops[int(key[1])][: int(g["cells"].iloc[0])], int(key[2])
+                top, mine = tops.get(int(key[1])), int(key[2])
                 tree = CoverTree(x, g["weight"].to_numpy(np.int64))
                 tree.points = None
-                d2 = 2 - 2 * (x @ top[mine:].T)
-                between = np.sqrt(np.maximum(2 - 2 * (top[mine:] @ top[mine]), 1e-12))
-                meets = mine + np.flatnonzero(((d2 - d2[:, :1]) / (2 * between) <= reach).any(0))
+                meets = np.array([mine])
+                if top is not None:  # a length among very many has one cell
+                    top = top[: int(g["cells"].iloc[0])]
+                    d2 = 2 - 2 * (x @ top[mine:].T)
+                    between = np.sqrt(np.maximum(2 - 2 * (top[mine:] @ top[mine]), 1e-12))
+                    meets = mine + np.flatnonzero(((d2 - d2[:, :1]) / (2 * between) <= reach).any(0))
                 body = pickle.dumps((g["pid"].to_numpy(np.int64), np.array(g["v"].tolist(), g["v"].iloc[0].dtype), tree), protocol=5)
                 file.write(body)
                 out.append((*key, name, at, len(body), sorted({mine, *meets.tolist()})))

@@ -261,7 +261,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places = Places(pack_lengths(counts, capacity))
     before = F.sum("own").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = by.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
+    # a table of tasks and lengths, which grows with the tasks: not to be sent to every one of them
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
     out = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
