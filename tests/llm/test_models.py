@@ -374,3 +374,42 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     spark.createDataFrame([], d.schema).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_token_queries_against_an_untouched_library(spark, tmp_path):
+    texts = [*(t for t in brute.awkward() if t is None or len(t) < 120_000), "say <|endoftext|> now <|startoftext|>", "a\x1cb  c d", " ".join(brute.PROSE * 150)]
+    brute.docs(spark, texts, start=BIG).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    sf = f"file://{tmp_path}"
+    library = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
+    start = 0
+    got = token_files.op6_token_files(spark, sf).orderBy("start").collect()
+    for k, (r, t) in enumerate(zip(got, texts, strict=True)):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (BIG + k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    library = Tokenizer.from_file(str(P.path("word_bpe_49k.json")))
+    placed = packing.op8_packing(spark, sf)
+    got = placed.orderBy("doc_id", "piece").collect()
+    want = []
+    for k, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(BIG + k, p, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for p, at in enumerate(range(0, len(ids), 4096))]
+    assert [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got] == want and len(want) > len(texts)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for rows in by.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(rows)]).tolist()]
+        assert [o for o, _ in sorted(rows)] == ends[:-1] and ends[-1] <= 4096
+    r = packing.report(placed).first()
+    assert (r["pieces"], r["tokens"], r["sequences"]) == (len(want), sum(w[3] for w in want), len(by)) and r["lower_bound"] <= r["sequences"]
+
+
+def test_empty_tables(spark, tmp_path):
+    none = brute.docs(spark, [])
+    folder = f"file://{tmp_path}/ids"
+    files = token_files.write_token_files(none, P.path("byte_bpe_50k.json"), folder, partitions=2)
+    assert token_files.read_token_files(files, folder).count() == 0
+    assert quality.classify(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    assert packing.pack_documents(none, P.path("word_bpe_49k.json"))[1].count() == 0
+    assert language.keep_known(none).count() == 0
