@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, vectors
 from ..operators import retrieval as R
+from ..operators.store import numbered
 from .base import NOW, ephemeral, events, memory, query, search_index, table
 from .base import vectors as vector_rows
 
@@ -215,13 +216,16 @@ def eval_hit_mrr(spark: SparkSession, sf: str) -> DataFrame:
     "v_event",
 )
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles by place in the sorted list. Counts of distinct values are summed up, so no group is gathered whole."""
-    e = events(spark, sf).groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("event_type").orderBy("value")
-    total = e.groupBy("event_type").agg(F.sum("n").alias("total"))
-    run = e.withColumn("upto", F.sum("n").over(w)).join(total, "event_type")
-    at = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.col("total") * p) + 1, F.col("value")))
-    return run.groupBy("event_type").agg(F.max("total").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Percentiles by place in the sorted list. All rows are numbered by ranges of type and value, so no type is sorted in one task."""
+    e = events(spark, sf).where("event_type is not null").select("event_type", "value")
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("event_type").rowsBetween(Window.unboundedPreceding, -1))  # a row for each type
+    sizes = counts.withColumn("first", F.coalesce(before, F.lit(0)))
+    named = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    j = numbered(e, ["event_type", "value"], "nth").join(sizes, "event_type").withColumn("at", F.col("nth") - F.col("first"))
+    place = lambda p: F.floor(F.col("n") * p)
+    hit = j.where((F.col("at") == place(0.5)) | (F.col("at") == place(0.95)) | (F.col("at") == place(0.99)))
+    return hit.groupBy("event_type").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("at") == place(p), F.col("value"))).alias(k) for k, p in named.items()])
 
 
 @query("footprint", " SELECT source_channel, count(*) AS n, sum(length(encode(chunk))) AS text_bytes, sum(coalesce(len(embedding), 0) * 4) AS vector_bytes, round((sum(length(encode(chunk))) + sum(coalesce(len(embedding), 0) * 4)) / count(*)::DOUBLE, 6) AS bytes_per_record FROM v_memory GROUP BY source_channel".replace("length(encode(chunk))", "octet_length(encode(chunk))"), "v_memory")
