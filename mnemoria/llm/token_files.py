@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Attempt, file_system
-from .shared import fresh_path, give_back, materialize
+from .shared import fresh_path, give_back, materialize, slices
 from .tokens import ids_of
 
 SEEK_MAGIC, DOC_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -126,24 +127,27 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     end = end_id.to_bytes(4, "little")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = ids_of(tokenizer).of
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of_all = ids_of(tokenizer).all
         first: list[int] = []
 
         def encoded() -> Iterator[tuple[int, bytes]]:
-            for b in batches:
-                for doc_id, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
-                    first.append(doc_id) if not first else None
-                    yield doc_id, of(text) + end
+            for batch in batches:
+                for b in slices(batch):
+                    names = b.column("doc_id").to_pylist()
+                    first.extend(names[: not first])
+                    for doc_id, ids in zip(names, ids_of_all(b.column("text").to_pylist()), strict=True):
+                        yield doc_id, ids + end
 
         part = TaskContext.get().partitionId()
         name = f"part-{part:05d}.ids.zst"
         with Attempt(folder, name) as out:
             docs_n, tokens = write_file(out, encoded())
         give_back()
-        yield pd.DataFrame({"file": [name], "part": [part], "n_docs": [docs_n], "n_tokens": [tokens], "first_id": first or [None]})
+        columns = [[name], pa.array([part], pa.int32()), [docs_n], [tokens], pa.array(first or [None], pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else c for c in columns], ["file", "part", "n_docs", "n_tokens", "first_id"])
 
-    return materialize(ordered.mapInPandas(write, "file string, part int, n_docs long, n_tokens long, first_id long"), "token-files")
+    return materialize(ordered.mapInArrow(write, "file string, part int, n_docs long, n_tokens long, first_id long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mnemoria.llm import language, packing, quality, token_files
+from mnemoria.llm import language, packing, quality, token_files, tokens
 from mnemoria.llm.tokens import Ids
 from tests.llm import brute
 
@@ -32,6 +32,35 @@ def test_ids_are_the_librarys(name):
     assert own.of(None) == own.of("") == b""
 
 
+def _asked_of_the_model(name):
+    """How often the library's model is asked for the merges of a pretoken in 5,000 words, no two alike, and one of 60 bytes; their ids are checked."""
+    own, library, asked = Ids(P.path(name)), Tokenizer.from_file(str(P.path(name))), []
+    merge, own.merge = own.merge, lambda p: asked.append(p) or merge(p)
+    rng = random.Random(2)
+    words = {"".join(rng.choices("abcdehinorstéñß", k=rng.randint(4, 20))) + rng.choice(["", "", ".", ",", ".\nA", "!!", "'s", "12"]) for _ in range(5000)}
+    for t in [" ".join(sorted(words)), "ab" * 30]:
+        assert np.frombuffer(own.of(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    return len(asked)
+
+
+def test_op6_merges_new_words_together():
+    assert _asked_of_the_model("byte_bpe_50k.json") == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_across_blocks(name, monkeypatch):
+    for what, n in (("BLOCK", 7), ("REMEMBERED", 3000), ("WORDS", 3), ("LONG", 9)):
+        monkeypatch.setattr(tokens, what, n)
+    own, library = Ids(P.path(name)), Tokenizer.from_file(str(P.path(name)))
+    rng = random.Random(3)
+    some = [*ODD[2:8], " ", " ", " ", ".", "'s", "Word", "unforeseeable", " the", "\n\n", "12", "İ", "  "]
+    texts = ["".join(rng.choices(some[: rng.choice([-2, None])], k=rng.randint(0, 40))) for _ in range(1000)]
+    got = own.all([None, *texts])
+    assert got[0] == b"" and len(got) == 1001
+    for t, ids in zip(texts, got[1:], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_files_round_trip(spark, tmp_path):
     texts = [t for t in brute.awkward() if t is None or len(t) < 20_000]
     d = brute.docs(spark, texts, start=100).orderBy(F.rand(1)).repartition(3)
