@@ -228,14 +228,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
     end = end_id.to_bytes(4, "little")
 
     def make():  # noqa: ANN202
-        of = ids_of(tokenizer).of
+        ids_of_all = ids_of(tokenizer).all
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
 
         def cut(texts: list[str | None]):  # noqa: ANN202
             at, rows = [], []
-            for i, text in enumerate(texts):
-                ids = of(text) + end
+            for i, ids in enumerate(ids_of_all(texts)):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[start : start + 4 * capacity]
                     n = len(own) // 4

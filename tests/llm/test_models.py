@@ -47,6 +47,10 @@ def test_op6_merges_new_words_together():
     assert _asked_of_the_model("byte_bpe_50k.json") == 1
 
 
+def test_op8_merges_new_words_together():
+    assert _asked_of_the_model("word_bpe_49k.json") == 1
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_across_blocks(name, monkeypatch):
     for what, n in (("BLOCK", 7), ("REMEMBERED", 3000), ("WORDS", 3), ("LONG", 9)):
