@@ -5,21 +5,39 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _part_of(df: DataFrame, order: list[str], n: int) -> Column:
+    """Which of ``n`` ranges of the order a row lies in: a function of its keys alone, so every evaluation of a plan deals rows alike.
+
+    The borders are keys of a sample that the driver holds, about 20 for each range. A row's range is the count of borders up to its key.
+    """
+    drawn = df.select(*order).withColumn("_drawn", F.rand(n)).orderBy("_drawn").limit(20 * n).drop("_drawn").orderBy(*order).collect()
+    borders = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
+    kinds = [df.schema[c].dataType for c in order]
+    known = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, row, kinds, strict=True)]) for row in borders])
+    steps = [1 << i for i in reversed(range(len(borders).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    key = F.struct(*order)
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= key, at + step).otherwise(at))
+    return F.coalesce(below, F.lit(0))
+
+
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 0, partitions: int | None = None) -> DataFrame:
     """Consecutive numbers in the given order, without bringing all rows into one task.
 
-    Rows are dealt by range and numbered within each part; a part's first number is the count of those before it.
+    Rows are dealt by range and numbered within each part; a part's first number is the count of those before it. Spark's own dealing by range
+    draws other borders each time a plan is evaluated, and the counts are an evaluation of their own: so the borders are fixed first.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order)
-    own = parts.withColumn("_nth", F.row_number().over(w) - 1)
-    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
+    parts = df.withColumn("_part", _part_of(df, order, n))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    w = Window.partitionBy("_part").orderBy(*order)
+    own = parts.repartitionById(n, F.col("_part")).withColumn("_nth", F.row_number().over(w) - 1)
     return own.join(F.broadcast(base), "_part").withColumn(name, F.col("_nth") + F.col("_base") + start).drop("_part", "_nth", "_base")
 
 

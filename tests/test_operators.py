@@ -358,3 +358,17 @@ def test_names_resolve_as_by_hand(spark):
         got = {r["name"]: (r["distance"], r["id"]) for r in graph.resolve(spark.createDataFrame([(a,) for a in asked], "name string"), e, most).collect()}
         best = {a: min((edits(a.lower(), n), i) for i, n in enumerate(names)) for a in asked}
         assert got == {a: b if b[0] <= most else (None, None) for a, b in best.items()}
+
+
+def test_numbers_hold_where_rows_are_read_twice(spark):
+    rows = spark.range(60_000).select(((F.col("id") * 7919) % 60_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    done = store.numbered(rows, ["k"], "n")
+    assert done.where("n <> k").count() == 0
+    assert done.where("n <> k or text is null").count() == 0
+    assert done.agg(F.sum(F.when(F.col("n") != F.col("k"), F.length("text"))).alias("s")).first()["s"] is None
+
+
+def test_numbers_of_nulls_and_of_no_rows(spark):
+    rows = spark.createDataFrame([(None, "b"), (3.5, "a"), (float("nan"), "c"), (None, "a"), (-1.0, None)], "x double, y string")
+    assert [r["y"] for r in store.numbered(rows, ["x", "y"], "n").orderBy("n").collect()] == ["a", "b", None, "a", "c"]
+    assert store.numbered(rows.where("false"), ["x"], "n").count() == 0
