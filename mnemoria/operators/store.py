@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,11 +35,12 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 0, partiti
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.withColumn("_part", _part_of(df, order, n))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each part
+    first = list(accumulate((sizes.get(p, 0) for p in range(n)), initial=start))
     w = Window.partitionBy("_part").orderBy(*order)
     own = parts.repartitionById(n, F.col("_part")).withColumn("_nth", F.row_number().over(w) - 1)
-    return own.join(F.broadcast(base), "_part").withColumn(name, F.col("_nth") + F.col("_base") + start).drop("_part", "_nth", "_base")
+    before = F.array(*[F.lit(x).cast("long") for x in first])
+    return own.withColumn(name, F.col("_nth") + F.get(before, F.col("_part"))).drop("_part", "_nth")
 
 
 def append(memory: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:

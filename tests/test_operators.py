@@ -372,3 +372,11 @@ def test_numbers_of_nulls_and_of_no_rows(spark):
     rows = spark.createDataFrame([(None, "b"), (3.5, "a"), (float("nan"), "c"), (None, "a"), (-1.0, None)], "x double, y string")
     assert [r["y"] for r in store.numbered(rows, ["x", "y"], "n").orderBy("n").collect()] == ["a", "b", None, "a", "c"]
     assert store.numbered(rows.where("false"), ["x"], "n").count() == 0
+
+
+def test_compaction_of_many_rows_keeps_their_order(spark):
+    k = (F.col("id") * 7919) % 60_000
+    m = spark.range(60_000).select(k.alias("mem_id"), F.sha2(F.col("id").cast("string"), 256).alias("chunk"), F.when(k % 10 == 0, 1).otherwise(0).alias("tombstone"), F.lit(1.0).alias("activation"))
+    done = store.run_compaction(m)
+    want = F.col("old_id") - F.floor(F.col("old_id") / 10) - 1
+    assert done.agg(F.count("*"), F.count_if(F.col("mem_id") != want), F.max(F.length("chunk"))).first() == (54_000, 0, 64)
