@@ -50,23 +50,27 @@ def _micros() -> Column:
     return F.round(F.col("timestamp") * 1e6).cast("long")
 
 
-def _over_past(events: DataFrame, window: float, **values: Column) -> DataFrame:
-    """``events`` with aggregates over all events of the ``window`` seconds up to each of them, both ends included.
+def _over_past(events: DataFrame, window: float, **marks: Column) -> DataFrame:
+    """``events`` with sums of ``marks`` over all events of the ``window`` seconds up to each of them, both ends included.
 
-    A window over everything would be one sorted run. Events are dealt by spans of time as long as the window, and each
-    stands in its own span and, for those that look back, in the next one; a span is a run of its own.
+    A window over everything would be one sorted run, so events are dealt by spans of time as long as the window. In its own span an event
+    counts from its time on; in the next one it counts from the start until it is too old. So a sum is a running one plus that of all who look
+    on from the span before: each row is added once, however many events a window holds.
     """
     micros = round(window * 1e6)
     span = F.floor(F.col("_at") / micros).cast("long")
-    at = events.withColumn("_at", _micros())
-    both = at.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_span", F.when(F.col("_own"), span).otherwise(span + 1))
-    w = Window.partitionBy("_span").orderBy("_at").rangeBetween(-micros, 0)
-    return both.withColumns({k: v.over(w) for k, v in values.items()}).where("_own").drop("_at", "_own", "_span")
+    at = events.withColumn("_at", _micros()).withColumns({f"_{k}": v for k, v in marks.items()})
+    both = at.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    both = both.withColumns({"_span": F.when(F.col("_own"), span).otherwise(span + 1), "_at": F.when(F.col("_own"), F.col("_at")).otherwise(F.col("_at") + micros + 1)})
+    so_far = Window.partitionBy("_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy("_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = {k: F.sum(F.when(F.col("_own"), F.col(f"_{k}")).otherwise(-F.col(f"_{k}"))).over(so_far) + F.sum(F.when(F.col("_own"), 0).otherwise(F.col(f"_{k}"))).over(every) for k in marks}
+    return both.withColumns(sums).where("_own").drop("_at", "_own", "_span", *[f"_{k}" for k in marks])
 
 
 def rate_alerts(events: DataFrame, most: int = 60, window: float = 60.0) -> DataFrame:
     """All writes in the minute up to each event, the event included, and the alert they raise."""
-    e = _over_past(events, window, in_window=F.count("*"))
+    e = _over_past(events, window, in_window=F.lit(1).cast("long"))
     return e.withColumn("severity", F.when(F.col("in_window") > 3 * most, "Critical").when(F.col("in_window") > 2 * most, "High").when(F.col("in_window") > most, "Medium"))
 
 
@@ -76,6 +80,7 @@ def session_alerts(events: DataFrame, most: int = 500) -> DataFrame:
 
 def source_alerts(events: DataFrame, least: int = 10, share: float = 0.8, window: float = 60.0) -> DataFrame:
     """The share of user writes among all in the minute up to each event; an alert over ``share`` of at least ``least`` writes."""
-    e = _over_past(events, window, in_window=F.count("*"), user_share=F.avg(F.coalesce(F.col("source") == "User", F.lit(False)).cast("double")))
+    e = _over_past(events, window, in_window=F.lit(1).cast("long"), _users=F.coalesce(F.col("source") == "User", F.lit(False)).cast("long"))
+    e = e.withColumn("user_share", F.col("_users") / F.col("in_window")).drop("_users")
     hit = (F.col("in_window") >= least) & (F.col("user_share") > share)
     return e.withColumn("severity", F.when(hit & (F.col("user_share") >= 0.95), "High").when(hit, "Medium"))

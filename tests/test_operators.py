@@ -380,3 +380,18 @@ def test_compaction_of_many_rows_keeps_their_order(spark):
     done = store.run_compaction(m)
     want = F.col("old_id") - F.floor(F.col("old_id") / 10) - 1
     assert done.agg(F.count("*"), F.count_if(F.col("mem_id") != want), F.max(F.length("chunk"))).first() == (54_000, 0, 64)
+
+
+def _past(t, users, micros):
+    at = np.round(t * 1e6).astype(np.int64)
+    return [(int(m.sum()), users[m].mean()) for m in ((at <= a) & (at >= a - micros) for a in at)]
+
+
+def test_rates_add_each_event_once(spark):
+    rng = np.random.default_rng(6)
+    t = np.concatenate([rng.integers(0, 600, 300).astype(float), [60.0, 120.0, 120.000001, 179.999999, 180.0]])  # many at once, and at the ends of windows
+    e = spark.createDataFrame([(i, float(x), "User") for i, x in enumerate(t)] + [(1000, None, "User"), (1001, None, "Tool")], "event_id long, timestamp double, source string")
+    done = strategy.rate_alerts(e, most=5)
+    got = {r["event_id"]: r["in_window"] for r in done.collect()}
+    assert got == {i: n for i, (n, _) in enumerate(_past(t, np.ones(len(t)), 60_000_000))} | {1000: 2, 1001: 2}
+    assert "RangeFrame, -" not in done._jdf.queryExecution().executedPlan().toString()  # a frame that slides is added up anew for each row
