@@ -395,3 +395,14 @@ def test_rates_add_each_event_once(spark):
     got = {r["event_id"]: r["in_window"] for r in done.collect()}
     assert got == {i: n for i, (n, _) in enumerate(_past(t, np.ones(len(t)), 60_000_000))} | {1000: 2, 1001: 2}
     assert "RangeFrame, -" not in done._jdf.queryExecution().executedPlan().toString()  # a frame that slides is added up anew for each row
+
+
+def test_shares_add_each_event_once(spark):
+    rng = np.random.default_rng(7)
+    t, user = rng.integers(0, 600, 300).astype(float), rng.random(300) < 0.7
+    e = spark.createDataFrame([(i, float(x), "User" if u else None) for i, (x, u) in enumerate(zip(t, user, strict=True))], "event_id long, timestamp double, source string")
+    done = strategy.source_alerts(e)
+    got = {r["event_id"]: (r["in_window"], r["user_share"]) for r in done.collect()}
+    assert got == dict(enumerate(_past(t, user, 60_000_000)))
+    assert done.columns == [*e.columns, "in_window", "user_share", "severity"]
+    assert "RangeFrame, -" not in done._jdf.queryExecution().executedPlan().toString()
