@@ -14,17 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
+from . import best
+from .best import matrix, unit
 
-
-def unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=-1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """(rows, dims) of an array column without nulls, in double precision."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+#: Rows that columns are computed for at once.
+ROWS = 1024
 
 
 def with_columns(rows: DataFrame, make: Callable[[np.ndarray], dict[str, np.ndarray | list]], schema: str, v: str = "embedding") -> DataFrame:
@@ -37,8 +31,9 @@ def with_columns(rows: DataFrame, make: Callable[[np.ndarray], dict[str, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                got = make(matrix(b.column(b.schema.get_field_index(v))))
-                cols = [pa.array(list(got[f.name]) if f.dataType.typeName() == "array" else got[f.name], kinds[f.dataType.simpleString()]) for f in more.fields]
+                vec = b.column(b.schema.get_field_index(v))
+                parts = [make(matrix(vec.slice(at, ROWS))) for at in range(0, len(b), ROWS)]
+                cols = [pa.array([x for p in parts for x in p[f.name]] if f.dataType.typeName() == "array" else np.concatenate([p[f.name] for p in parts]), kinds[f.dataType.simpleString()]) for f in more.fields]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=out.names)
 
     return own.mapInArrow(run, out)
@@ -71,8 +66,8 @@ def kmeans(rows: DataFrame, k: int, iterations: int = 5, v: str = "embedding", i
             c = sent.value
             total, count = np.zeros_like(c), np.zeros(len(c), np.int64)
             for b in batches:
-                if len(b):
-                    x = matrix(b.column(0))
+                for at in range(0, len(b), ROWS):
+                    x = matrix(b.column(0).slice(at, ROWS))
                     own = nearest(x, c)[:, 0]
                     np.add.at(total, own, x)
                     np.add.at(count, own, 1)
@@ -123,6 +118,36 @@ def pq_train(sample: np.ndarray, parts: int, codes: int, iterations: int = 5) ->
     return books
 
 
+def pq_fit(rows: DataFrame, parts: int, codes: int, iterations: int = 5, v: str = "embedding", id_col: str = "vec_id") -> np.ndarray:
+    """As ``pq_train``, over all rows: a step is one pass that sums the slices of each code word in the tasks. The first rows by a hash of the id are the seeds."""
+    seeds = first_by_hash(rows, codes, id_col, v)
+    books = pq_train(seeds, parts, codes, 0)
+    width = books.shape[2]
+    for _ in range(iterations):
+        sent = rows.sparkSession.sparkContext.broadcast(books)
+
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            books = sent.value
+            n, size = books.shape[1], books.shape[0] * books.shape[1]
+            total, count = np.zeros((size, width)), np.zeros(size, np.int64)
+            for b in batches:
+                for at in range(0, len(b), ROWS):
+                    x = matrix(b.column(0).slice(at, ROWS))
+                    word = (pq_codes(x, books) + np.arange(parts) * n).ravel()
+                    count += np.bincount(word, minlength=size)
+                    for i in range(width):
+                        total[:, i] += np.bincount(word, x[:, i : parts * width : width].ravel(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(count), pa.array(list(total), pa.list_(pa.float64()))], names=["word", "n", "total"])
+
+        each = rows.where(F.col(v).isNotNull()).select(v).mapInArrow(sums, "word int, n long, total array<double>")
+        got = each.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"d{i}") for i in range(width)]).where("n > 0").collect()  # a row for each code word
+        sent.unpersist()
+        books = books.copy()
+        for r in got:
+            books[divmod(r["word"], books.shape[1])] = np.array([r[f"d{i}"] for i in range(width)]) / r["n"]
+    return books
+
+
 def _words(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.round(((x[:, None, :] - book[None]) ** 2).sum(-1), 12).argmin(1)
 
@@ -143,7 +168,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray |
 
     With ``centroids``, a query looks into the lists of its ``n_probe`` nearest ones, and lists that none asks for aren't read (``index`` is laid out
     by ``cluster``). With ``books``, the ``candidates`` nearest by ``codes`` are ranked by their cosine. Queries are sent in blocks of 4,096;
-    a task multiplies matrices and gives its best of each query. A vector that stands in as many lists as ``copies`` counts once.
+    a task multiplies matrices of a few MB and gives its best of each query. A vector that stands in as many lists as ``copies`` counts once.
     """
     spark = index.sparkSession
     out: DataFrame | None = None
@@ -162,30 +187,27 @@ def search(index: DataFrame, queries: DataFrame, k: int, centroids: np.ndarray |
             tables = np.stack([((q[:, None, p * width : (p + 1) * width] - b[None]) ** 2).sum(-1) for p, b in enumerate(books)])
         sent = spark.sparkContext.broadcast((ids, unit(q), probed, tables))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, q, probed, tables = sent.value
-            best: pd.DataFrame | None = None
+            found = best.Best(len(q), candidates or k, copies)
             for b in batches:
-                if not len(b):
-                    continue
-                s = q @ unit(matrix(b.column(1))).T
-                far = -s
-                if tables is not None:
-                    codes = matrix(b.column(b.schema.get_field_index("codes"))).astype(np.int64)
-                    far = np.round(sum(t[:, codes[:, p]] for p, t in enumerate(tables)), 9)
-                if probed is not None:
-                    far = np.where(probed[:, b.column(b.schema.get_field_index("cluster")).to_numpy()], far, np.inf)
-                m = min(copies * (candidates or k), far.shape[1])
-                edge = np.partition(far, m - 1, axis=1)[:, m - 1][:, None]  # all that could be among the best: ties are settled by id
-                r, c = np.nonzero((far <= edge) & (far < np.inf))
-                found = pd.DataFrame({"query_id": ids[r], "id": b.column(0).to_numpy()[c], "far": far[r, c], "score": s[r, c]})
-                best = found if best is None else pd.concat([best, found])
-                best = best.drop_duplicates(["query_id", "id"]).sort_values(["query_id", "far", "id"]).groupby("query_id").head(candidates or k)
-            if best is not None:
-                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+                for at in best.slices(len(b), len(q)):
+                    own = b.slice(at.start, at.stop - at.start)
+                    x = unit(matrix(own.column(1)))
+                    if tables is None:
+                        far = -(q @ x.T)
+                    else:
+                        codes = matrix(own.column(own.schema.get_field_index("codes"))).astype(np.int64)
+                        far = np.round(sum(t[:, codes[:, p]] for p, t in enumerate(tables)), 9)
+                    if probed is not None:
+                        far[~probed[:, own.column(own.schema.get_field_index("cluster")).to_numpy()]] = np.inf
+                    r, c = found.within(far, best.SLACK if tables is None else 0.0)
+                    score = best.cosines(q, x, r, c)
+                    found.add(r, best.numbers(own.column(0))[c], -score if tables is None else far[r, c], score)
+            yield found.batch(ids)
 
         columns = [id_col, "embedding", *(["cluster"] if centroids is not None else []), *(["codes"] if books is not None else [])]
-        part = own.where("embedding is not null").select(*columns).mapInArrow(run, "query_id long, id long, far double, score double")
+        part = own.where("embedding is not null").select(F.col(id_col).cast("long").alias("id"), *columns[1:]).mapInArrow(run, "query_id long, id long, far double, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, id long, score double")

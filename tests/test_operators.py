@@ -406,3 +406,43 @@ def test_shares_add_each_event_once(spark):
     assert got == dict(enumerate(_past(t, user, 60_000_000)))
     assert done.columns == [*e.columns, "in_window", "user_share", "severity"]
     assert "RangeFrame, -" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def _peak_mb(spark, monkeypatch, make, columns):
+    """The memory that a task's function takes for two Arrow batches of 10,000 rows of 64 numbers."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    runs, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: runs.append(run) or real(self, run, schema))
+    make()
+    monkeypatch.setattr(DataFrame, "mapInArrow", real)
+    rng = np.random.default_rng(8)
+    batches = []
+    for n in range(2):
+        v = pa.array(list(rng.normal(size=(10_000, 64))), pa.list_(pa.float64()))
+        every = {"vec_id": pa.array(np.arange(10_000) + n * 10_000), "embedding": v, "cluster": pa.array(np.arange(10_000, dtype=np.int32) % 4), "codes": pa.array([[1, 2]] * 10_000, pa.list_(pa.int32()))}
+        batches.append(pa.RecordBatch.from_arrays([every[c] for c in columns], names=columns))
+    tracemalloc.start()
+    rows = sum(len(b) for b in runs[-1](iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows
+    return peak
+
+
+def _vectors(spark, n):
+    return spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.sin(F.col("id") * j)).alias("embedding"))
+
+
+@pytest.mark.parametrize("kind", ["lists", "copies", "codes", "both"])
+def test_index_search_holds_small_matrices(spark, monkeypatch, kind):
+    v, rng = _vectors(spark, 2000), np.random.default_rng(9)
+    index = v.withColumns({"cluster": F.lit(0), "codes": F.array(F.lit(0), F.lit(1))})
+    c = rng.normal(size=(4, 64)) if kind != "codes" else None
+    books = rng.normal(size=(2, 4, 32)) if kind in ("codes", "both") else None
+    columns = ["vec_id", "embedding", *(["cluster"] if c is not None else []), *(["codes"] if books is not None else [])]
+    ask = lambda: ann.search(index, v.withColumnRenamed("vec_id", "query_id"), 10, c, 4 if c is not None else 0, books, 60 if books is not None else 0, 2 if kind == "copies" else 1)
+    assert _peak_mb(spark, monkeypatch, ask, columns) < 100
