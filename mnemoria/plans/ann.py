@@ -17,8 +17,8 @@ from .retrieval import probe
 
 #: Lists, lists that a query looks into, steps of the fit.
 K, PROBES, STEPS = 32, 20, 5
-#: Slices of a vector, code words of each, rows that the code words are fitted to at most, candidates that are ranked exactly.
-PARTS, CODES, FIT_ROWS, CANDIDATES = 32, 16, 20_000, 60
+#: Slices of a vector, code words of each, candidates that are ranked exactly.
+PARTS, CODES, CANDIDATES = 32, 16, 60
 
 _BUILT: dict[tuple[str, str, str], object] = {}
 
@@ -35,7 +35,7 @@ def centroids(spark: SparkSession, sf: str) -> np.ndarray:
 
 
 def books(spark: SparkSession, sf: str) -> np.ndarray:
-    return _once(spark, sf, "books", lambda: A.pq_train(A.first_by_hash(vector_rows(spark, sf), FIT_ROWS, "vec_id"), PARTS, CODES, STEPS))
+    return _once(spark, sf, "books", lambda: A.pq_fit(vector_rows(spark, sf), PARTS, CODES, STEPS))
 
 
 def _stored(spark: SparkSession, sf: str, what: str, make, by: str | None = None) -> DataFrame:  # noqa: ANN001

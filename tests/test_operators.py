@@ -446,3 +446,15 @@ def test_index_search_holds_small_matrices(spark, monkeypatch, kind):
     columns = ["vec_id", "embedding", *(["cluster"] if c is not None else []), *(["codes"] if books is not None else [])]
     ask = lambda: ann.search(index, v.withColumnRenamed("vec_id", "query_id"), 10, c, 4 if c is not None else 0, books, 60 if books is not None else 0, 2 if kind == "copies" else 1)
     assert _peak_mb(spark, monkeypatch, ask, columns) < 100
+
+
+def test_code_words_are_fitted_to_all_rows(spark, tmp_path):
+    from mnemoria import registry
+
+    wave = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.sin(F.col("vec_id") * j * 0.37 + j).cast("float"))
+    spark.range(20_500).select(F.col("id").alias("vec_id")).select("vec_id", wave.alias("embedding"), F.lit(1).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy(F.md5(F.col("vec_id").cast("string"))).toPandas()
+    x = np.array(v["embedding"].tolist(), np.float64)
+    want = dict(zip(v["vec_id"], ann.pq_codes(x, ann.pq_train(x, 32, 16, 5)).tolist(), strict=True))
+    got = {r["vec_id"]: r["codes"] for r in registry.queries()["pq_encode"](spark, str(tmp_path)).collect()}
+    assert got == {i: "-".join(map(str, c)) for i, c in want.items()}
