@@ -458,3 +458,8 @@ def test_code_words_are_fitted_to_all_rows(spark, tmp_path):
     want = dict(zip(v["vec_id"], ann.pq_codes(x, ann.pq_train(x, 32, 16, 5)).tolist(), strict=True))
     got = {r["vec_id"]: r["codes"] for r in registry.queries()["pq_encode"](spark, str(tmp_path)).collect()}
     assert got == {i: "-".join(map(str, c)) for i, c in want.items()}
+
+
+def test_lists_are_chosen_for_few_rows_at_once(spark, monkeypatch):
+    c = np.random.default_rng(10).normal(size=(32, 64)).tolist()
+    assert _peak_mb(spark, monkeypatch, lambda: ann.rairs_assign(_vectors(spark, 10), c), ["vec_id", "embedding"]) < 150
