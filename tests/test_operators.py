@@ -476,3 +476,8 @@ def test_equal_vectors_are_ranked_by_id(spark):
     asked = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     got = retrieval.batch_topk(v, asked, 5).collect()
     assert {(r["query_id"], r["id"], r["rank"]) for r in got} == {(q, i, i + 1) for q in range(0, 1500, 50) for i in range(5)}
+
+
+def test_new_rows_and_labels_meet_the_store_in_small_matrices(spark, monkeypatch):
+    v = _vectors(spark, 2000).withColumnRenamed("vec_id", "id")
+    assert _peak_mb(spark, monkeypatch, lambda: strategy.semantic_shift(v, v), ["vec_id", "embedding"]) < 100
