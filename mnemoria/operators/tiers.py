@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from . import best
 
 
 @dataclass(frozen=True)
@@ -73,34 +74,41 @@ def promotable(entries: DataFrame, now: float, accesses: int, dim: int) -> DataF
     return live(entries, now).where(F.col("access_count") >= accesses).select("key", F.concat(F.lit("ephemeral::"), "key").alias("source_channel"), F.coalesce("text", F.lit("")).alias("chunk"), F.coalesce("embedding", zero).alias("embedding"), F.lit(1.0).alias("activation"))
 
 
-def surprise(rows: DataFrame, working: DataFrame, id_col: str = "id", block: int = 4096) -> DataFrame:
+def surprise(rows: DataFrame, working: DataFrame, id_col: str = "id", block: int = 16_384) -> DataFrame:
     """``(id, surprise)``: 1 minus the largest cosine with an earlier row (by id) of the working tier, within 0 and 1; 1 where there is none.
 
-    The working tier has a capacity. Its rows are sent to the tasks in blocks, one at a time through the driver, and multiplied
-    there, so no pairs are made; a row comes out once for each block.
+    Rows of the working tier are sent to the tasks in blocks, one at a time through the driver, and multiplied there in matrices of a few
+    MB, so no pairs are made; a row comes out once for each block. Ids and vectors are kept in the checkpoint folder in the order of ids, so a
+    block reads just those, and few rows at once lie on both sides of an id.
     """
+    from .graph import cut
+
     spark = rows.sparkSession
-    asked = rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding")
+    asked = cut(rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding").sortWithinPartitions("id"))
     out: DataFrame | None = None
 
     def against(held: list) -> DataFrame:
         ids = np.array([r["id"] for r in held], np.int64)
-        v = np.array([r["embedding"] for r in held], np.float64)
-        sent = spark.sparkContext.broadcast((ids, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)))
+        sent = spark.sparkContext.broadcast((ids, best.unit(np.array([r["embedding"] for r in held], np.float64))))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, v = sent.value
             for b in batches:
-                x = np.array(b["embedding"].tolist(), np.float64).reshape(len(b), -1)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ v.T if len(b) else np.zeros((0, len(v)))
-                s[ids[None, :] >= b["id"].to_numpy()[:, None]] = -np.inf
-                yield pd.DataFrame({"id": b["id"], "top": s.max(1)})
-
-        return asked.mapInPandas(run, "id long, top double")
+                own, top = best.numbers(b.column(0)), np.empty(len(b))
+                for at in best.slices(len(b), len(v)):
+                    if own[at].max() <= ids[0]:
+                        top[at] = -np.inf
+                        continue
+                    s = best.unit(best.matrix(b.column(1).slice(at.start, at.stop - at.start))) @ v.T
+                    if own[at].min() <= ids[-1]:
+                        s[ids[None, :] >= own[at][:, None]] = -np.inf
+                    top[at] = s.max(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top)], names=["id", "top"])
+
+        return asked.mapInArrow(run, "id long, top double")
 
     held: list = []
-    for r in working.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding").toLocalIterator():
+    for r in working.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding").orderBy("id").toLocalIterator():
         held.append(r)
         if len(held) == block:
             out = against(held) if out is None else out.unionByName(against(held))

@@ -481,3 +481,18 @@ def test_equal_vectors_are_ranked_by_id(spark):
 def test_new_rows_and_labels_meet_the_store_in_small_matrices(spark, monkeypatch):
     v = _vectors(spark, 2000).withColumnRenamed("vec_id", "id")
     assert _peak_mb(spark, monkeypatch, lambda: strategy.semantic_shift(v, v), ["vec_id", "embedding"]) < 100
+
+
+def test_surprise_holds_small_matrices(spark, monkeypatch):
+    v = _vectors(spark, 4000).withColumnRenamed("vec_id", "id")
+    assert _peak_mb(spark, monkeypatch, lambda: tiers.surprise(v, v), ["vec_id", "embedding"]) < 100
+
+
+def test_surprise_is_of_earlier_rows_in_any_block(spark):
+    rng = np.random.default_rng(12)
+    x, order = rng.normal(size=(90, 4)), rng.permutation(90)
+    v = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "id long, embedding array<double>")
+    got = {r["id"]: r["surprise"] for r in tiers.surprise(v, v.where("id % 3 = 0"), block=7).collect()}
+    u = ann.unit(x)
+    want = {i: 1 - max((u[j] @ u[i] for j in range(0, i, 3)), default=0.0) for i in range(90)}
+    assert got.keys() == want.keys() and all(abs(got[i] - min(max(w, 0.0), 1.0)) < 1e-9 for i, w in want.items())
