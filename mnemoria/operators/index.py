@@ -1,4 +1,4 @@
-"""Persisted search indexes: postings, vectors with their norms, and what ranking needs, as Parquet laid out by what queries ask for.
+"""Persisted search indexes: documents' terms, postings, vectors with their norms, and what ranking needs, as Parquet laid out by what queries ask for.
 
 An index is written once and read by any number of queries and sessions. Postings lie in folders by a hash of the term, in the order of terms, so a
 query opens the folders of its own terms and skips all row groups of others.
@@ -18,7 +18,7 @@ BUCKETS = 64
 
 
 class SearchIndex:
-    """``postings(term, id, tf, dl)``, ``terms(term, df)``, ``vectors(id, embedding, norm)``, ``rows(id, ...)`` and two totals."""
+    """``cuts(id, dl, terms, tfs)``, ``postings(term, id, tf, dl)``, ``terms(term, df)``, ``vectors(id, embedding, norm)``, ``rows(id, ...)`` and two totals."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -26,21 +26,26 @@ class SearchIndex:
         self.n_docs, self.avgdl = totals["n_docs"], totals["avgdl"]
 
     @classmethod
-    def build(cls, memory: DataFrame, folder: str, id_col: str = "mem_id", keep: tuple[str, ...] = ("activation", "source_channel", "timestamp"), buckets: int = BUCKETS) -> SearchIndex:
-        """Texts are cut once. A term that is in most documents has a folder with several files: its rows are dealt by size."""
+    def build(cls, memory: DataFrame, folder: str, id_col: str = "mem_id", keep: tuple[str, ...] = ("activation", "source_channel", "timestamp"), buckets: int = BUCKETS, texts: DataFrame | None = None) -> SearchIndex:
+        """Texts are cut once, each by itself, and written before their terms are dealt. A term that is in most documents has a folder with several files: its rows are dealt by size.
+
+        ``texts`` are the same rows without vectors, for who can give them without a join by which texts would be sorted.
+        """
         rows = R.active(memory)
+        plain = rows if texts is None else R.active(texts)
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        cut = rows.select(F.col(id_col).alias("id"), text.tokens(F.col("chunk")).alias("toks"))
-        each = cut.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+        spark = memory.sparkSession
+        R.cuts(plain, id_col).write.parquet(f"{folder}/cuts")
+        pair = F.explode(F.arrays_zip("terms", "tfs")).alias("x")
+        each = spark.read.parquet(f"{folder}/cuts").select("id", "dl", pair).select(F.col("x.terms").alias("term"), "id", F.col("x.tfs").alias("tf"), "dl")
         laid = each.select("term", "id", "tf", "dl", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         laid.write.partitionBy("bucket").parquet(f"{folder}/postings")
-        spark = memory.sparkSession
         postings = spark.read.parquet(f"{folder}/postings")
         terms = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("times"))
         terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
         held = rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).alias("id"), "embedding", vectors.norm(F.col("embedding")).alias("norm"))
         held.write.parquet(f"{folder}/vectors")
-        rows.select(F.col(id_col).alias("id"), *keep).write.parquet(f"{folder}/rows")
+        plain.select(F.col(id_col).alias("id"), *keep).write.parquet(f"{folder}/rows")
         tokens = spark.read.parquet(f"{folder}/terms").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("t"))
         n = spark.read.parquet(f"{folder}/rows").count()
         tokens.select(F.lit(n).cast("long").alias("n_docs"), (F.col("t") / F.lit(float(n) if n else None)).alias("avgdl")).coalesce(1).write.parquet(f"{folder}/totals")
@@ -73,10 +78,9 @@ class SearchIndex:
     def bm25(self, query: str) -> DataFrame:
         return self.bm25_parts(query).groupBy("id").agg(F.sum("part").alias("score"))
 
-    def bm25_batch(self, queries: DataFrame, k: int) -> DataFrame:
-        """``(query_id, id, score, rank)`` for ``queries(query_id, text)``: terms meet their postings by a join."""
-        totals = self.spark.range(1).select(F.lit(self.n_docs).alias("n_docs"), F.lit(self.avgdl).alias("avgdl"))
-        return R.bm25_batch(self._read("postings"), totals, queries, k, self._read("terms").select("term", "df"))
+    def bm25_batch(self, queries: DataFrame, k: int, places: int | None = None) -> DataFrame:
+        """``(query_id, id, score, rank)`` for ``queries(query_id, text)``, which are sent to the documents' terms."""
+        return R.bm25_batch(self._read("cuts"), self.n_docs, self.avgdl, self._read("terms").select("term", "df"), queries, k, places)
 
     def cosine(self, query: list[float]) -> DataFrame:
         """``(id, score)`` of all vectors, from their stored norms; nothing for a zero query."""

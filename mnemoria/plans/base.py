@@ -52,7 +52,7 @@ def search_index(spark: SparkSession, sf: str) -> SearchIndex:
     """The index over the memory view, written when the first query asks for it."""
     key = spark.sparkContext.applicationId, sf
     if key not in _INDEXES:
-        _INDEXES[key] = SearchIndex.build(memory(spark, sf), shared_folder(spark, "index") + "/search")
+        _INDEXES[key] = SearchIndex.build(memory(spark, sf), shared_folder(spark, "index") + "/search", texts=_texts(spark, sf))
     return _INDEXES[key]
 
 
@@ -60,9 +60,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The memory view without vectors. Texts meet vectors by a join only where an id has several of them, and so several rows."""
+    ids = table(spark, sf, "embeddings").where("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1").isEmpty():
+        return _memory(table(spark, sf, "documents").withColumn("embedding", F.lit(None).cast("array<float>")))
+    return memory(spark, sf)
+
+
 def memory(spark: SparkSession, sf: str) -> DataFrame:
     d, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    joined = d.join(e, d["doc_id"] == e["vec_id"], "left")
+    return _memory(d.join(e, d["doc_id"] == e["vec_id"], "left"))
+
+
+def _memory(joined: DataFrame) -> DataFrame:
     channel = F.when(F.col("doc_id") % 4 == 0, "user_correction").when(F.col("doc_id") % 4 == 1, "conversation").when(F.col("doc_id") % 4 == 2, "system").otherwise(F.col("source"))
     return joined.select(
         F.col("doc_id").alias("mem_id"),

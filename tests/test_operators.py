@@ -496,3 +496,21 @@ def test_surprise_is_of_earlier_rows_in_any_block(spark):
     u = ann.unit(x)
     want = {i: 1 - max((u[j] @ u[i] for j in range(0, i, 3)), default=0.0) for i in range(90)}
     assert got.keys() == want.keys() and all(abs(got[i] - min(max(w, 0.0), 1.0)) < 1e-9 for i, w in want.items())
+
+
+def test_texts_are_cut_each_by_itself(spark):
+    m = spark.createDataFrame([(1, "b a, B c b"), (2, ""), (3, None), (4, "gone")], "mem_id long, chunk string").withColumn("tombstone", (F.col("mem_id") == 4).cast("int"))
+    done = retrieval.cuts(m)
+    assert {r["id"]: (r["dl"], dict(zip(r["terms"], r["tfs"], strict=True))) for r in done.collect()} == {1: (5, {"a": 1, "b": 3, "c": 1}), 2: (0, {}), 3: (None, {})}
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_of_texts_has_a_row_for_each_vector_of_an_id(spark, tmp_path):
+    from mnemoria.plans import base
+
+    for name, ids in (("one", [1, 2]), ("two", [1, 1])):
+        spark.createDataFrame([(1, "red fox", "en", "web", 7), (2, "red", "en", "web", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, [1.0], 0) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        index, texts = base.search_index(spark, f"{tmp_path}/{name}"), base._texts(spark, f"{tmp_path}/{name}")
+        assert index.n_docs == len({1, 2}) + (name == "two") and index.frequencies(["fox"]) == {"fox": 1 + (name == "two")}
+        assert ("Join" in texts.drop("embedding")._jdf.queryExecution().optimizedPlan().toString()) == (name == "two")
