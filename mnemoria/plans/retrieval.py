@@ -71,9 +71,7 @@ def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    every = search_index(spark, sf).bm25_batch(asked, 20).withColumn("s9", F.round("score", 9))
-    w = Window.partitionBy("query_id").orderBy(F.desc("s9"), "id")
-    return every.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return search_index(spark, sf).bm25_batch(asked, 5, 9).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("cosine_topk", _VEC + " SELECT id, round(score, 6) AS score FROM vec ORDER BY vec.score DESC, id LIMIT 20", "v_memory")

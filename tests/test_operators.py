@@ -514,3 +514,22 @@ def test_an_index_of_texts_has_a_row_for_each_vector_of_an_id(spark, tmp_path):
         index, texts = base.search_index(spark, f"{tmp_path}/{name}"), base._texts(spark, f"{tmp_path}/{name}")
         assert index.n_docs == len({1, 2}) + (name == "two") and index.frequencies(["fox"]) == {"fox": 1 + (name == "two")}
         assert ("Join" in texts.drop("embedding")._jdf.queryExecution().optimizedPlan().toString()) == (name == "two")
+
+
+def test_a_batch_of_queries_is_scored_where_documents_lie(spark, tmp_path):
+    from mnemoria.operators.index import SearchIndex
+
+    rng = np.random.default_rng(13)
+    words = np.array(["red", "fox", "dog", "sun", "sea", "oak", "ice"])
+    texts = ["red fox and red dog"] * 60 + [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(140)]
+    m = spark.createDataFrame([(i, t, 0, None) for i, t in enumerate(texts)], "mem_id long, chunk string, tombstone int, embedding array<double>").repartition(3)
+    index = SearchIndex.build(m, f"{tmp_path}/index", keep=())
+    asked = {7: "red fox", 8: "sun sea sun", 9: "nothing here", 10: "ice", 11: "and"}
+    batch = index.bm25_batch(spark.createDataFrame(list(asked.items()), "query_id long, text string"), 5, 9)
+    got = {q: [(r["id"], r["rank"], round(r["score"], 9)) for r in sorted(batch.collect(), key=lambda r: r["rank"]) if r["query_id"] == q] for q in asked}
+    for q, t in asked.items():
+        scored = sorted(((-round(r["score"], 9), r["id"]) for r in retrieval.bm25(m, t).collect()))[:5]
+        assert got[q] == [(i, n + 1, -s) for n, (s, i) in enumerate(scored)]
+    assert [i for i, _, _ in got[11]] == [0, 1, 2, 3, 4]
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(query_id" in plan
