@@ -84,7 +84,8 @@ def surprise(rows: DataFrame, working: DataFrame, id_col: str = "id", block: int
     from .graph import cut
 
     spark = rows.sparkSession
-    asked = cut(rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding").sortWithinPartitions("id"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)  # rows are few bytes and much work
+    asked = cut(rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding").repartition(n, "id").sortWithinPartitions("id"))
     out: DataFrame | None = None
 
     def against(held: list) -> DataFrame:

@@ -533,3 +533,11 @@ def test_a_batch_of_queries_is_scored_where_documents_lie(spark, tmp_path):
     assert [i for i, _, _ in got[11]] == [0, 1, 2, 3, 4]
     plan = batch._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning(query_id" in plan
+
+
+def test_surprise_is_dealt_to_all_cores(spark):
+    v = _vectors(spark, 200).withColumnRenamed("vec_id", "id")
+    s = tiers.surprise(v.coalesce(1), v.where("id < 50"))
+    scans = s.select("id")._jdf.queryExecution().analyzed().collectLeaves()
+    parts = [scans.apply(i).rdd().getNumPartitions() for i in range(scans.size()) if "LogicalRDD" in scans.apply(i).getClass().getName()]
+    assert parts and min(parts) >= 12
